@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,17 +17,49 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
+
+    It is the session's spark.checkpoint.dir; only where none is set (local
+    tests) is a temporary one made.
+    """
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None:
+        known = tempfile.mkdtemp(prefix="weft-checkpoint-")
+        sc.setCheckpointDir(known)
+        atexit.register(shutil.rmtree, known, ignore_errors=True)
+    return known.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder that all executors share.
+    """The rows written to a table in the shared folder and read again.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set
-    (local tests) is a temporary one made.
+    That cuts the lineage, survives the loss of executors and gives the planner
+    true sizes.  The table is deleted when the driver ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/weft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(sweep)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list = []
+
+
+def sweep() -> None:
+    """Deletes the tables that cut() wrote."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
 
 
 def running_total(df: DataFrame, group: list[str], order: Column, value: str, out: str, buckets: int = 256) -> DataFrame:

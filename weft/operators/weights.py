@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.units import weight
 from weft.session import cut, table
@@ -39,7 +40,7 @@ TOLERANCE = 0.4
 SPREAD, PEERS = 0.16, 3
 
 
-@F.pandas_udf("struct<v:double,unit:string>")
+@F.pandas_udf(T.StructType([T.StructField("v", T.DoubleType()), T.StructField("unit", T.StringType())]))
 def read_weight(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """(number, unit) of weights in text; unit "" for bare numbers, "lb oz" counts in pounds; null if unreadable."""
     memo: dict = {}

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from weft.llm.titles import SAME, Lexicon, Parser
 from weft.session import cut
 
-PARSED = "key string, art string, code string, names string, dims array<struct<d:string,v:double>>, words array<string>"
+PARSED = "key string, art string, code string, names string, dims array<string>, words array<string>"
 #: Dimensions that count and are compared exactly.
 COUNTS = ["pack", "pieces", "players", "pages", "shoe"]
 #: A word must bear a code in this share of its titles to speak for it.
@@ -32,17 +32,20 @@ SHARE = 0.15
 def parse(listings: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """listings: key, title, model (a code from elsewhere, or null) -> PARSED."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(lexicon)
+        kinds = [pa.string()] * 4 + [pa.list_(pa.string())] * 2
         for b in batches:
-            rows = []
-            for key, title, model in zip(b["key"], b["title"], b["model"]):
+            out: list[list] = [[] for _ in kinds]
+            keys, titles, models = (b.column(i).to_pylist() for i in range(3))
+            for key, title, model in zip(keys, titles, models):
                 p = parser.parse(title)
                 code = p["codes"][0] if p["codes"] else (model or "").replace("-", "").replace(" ", "").upper()
-                rows.append((key, f"{p['acc']}|{p['article']}", code, " ".join(p["names"]), [{"d": d, "v": v} for d, v in p["dims"]], p["words"]))
-            yield pd.DataFrame(rows, columns=["key", "art", "code", "names", "dims", "words"])
+                for column, x in zip(out, (key, f"{p['acc']}|{p['article']}", code, " ".join(p["names"]), [f"{d}={v:.6g}" for d, v in p["dims"]], p["words"])):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "art", "code", "names", "dims", "words"])
 
-    return listings.select("key", "title", "model").mapInPandas(run, PARSED)
+    return listings.select("key", "title", "model").mapInArrow(run, PARSED)
 
 
 def cuts(parsed: DataFrame) -> dict[str, list[float]]:
@@ -51,7 +54,7 @@ def cuts(parsed: DataFrame) -> dict[str, list[float]]:
     There are at most 53 gaps to a decade, so the result is small whatever the
     number of rows.
     """
-    v = parsed.select(F.explode("dims").alias("x")).where(~F.col("x.d").isin(COUNTS)).select("x.d", F.expr("x.v").alias("v"))
+    v = parsed.select(F.explode("dims").alias("x")).select(F.split("x", "=")[0].alias("d"), F.split("x", "=")[1].cast("double").alias("v")).where(~F.col("d").isin(COUNTS) & (F.col("v") > 0))
     v = v.groupBy("d", F.expr("round(v / pow(10, floor(log10(v)) - 2)) * pow(10, floor(log10(v)) - 2)").alias("v")).count()
     gaps = v.withColumn("p", F.lag("v").over(W.partitionBy("d").orderBy("v"))).where(F.col("v") > F.col("p") * SAME)
     out: dict[str, list[float]] = {}
@@ -65,11 +68,12 @@ def blocks(parsed: DataFrame) -> DataFrame:
     at = cuts(parsed)
 
     def token(x):
-        t = F.concat(x["d"], F.lit("="), x["v"].cast("string"))
+        t = x
+        name, value = F.split(x, "=")[0], F.split(x, "=")[1].cast("double")
         for d, cs in sorted(at.items()):
-            t = F.when(x["d"] == d, F.concat(F.lit(d + "~"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]), lambda c: c <= x["v"])).cast("string"))).otherwise(t)
+            t = F.when(name == d, F.concat(F.lit(d + "~"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]), lambda c: c <= value)).cast("string"))).otherwise(t)
         for d in {"length", "volume", "mass", "power", "voltage", "time", "resolution", "load"} - set(at):
-            t = F.when(x["d"] == d, F.lit(d + "~0")).otherwise(t)
+            t = F.when(name == d, F.lit(d + "~0")).otherwise(t)
         return t
 
     tokens = F.array_join(F.array_sort(F.array_distinct(F.transform("dims", token))), " ")
@@ -80,17 +84,17 @@ def lines(parsed: DataFrame) -> DataFrame:
     """Fills code from the name words where it is empty; parsed needs key, art, code, words."""
     pair = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.element_at("words", i + 1), F.element_at("words", i + 2)))
     tokens = F.concat(F.array_distinct("words"), F.when(F.size("words") >= 2, F.array_distinct(pair)).otherwise(F.array().cast("array<string>")))
-    rows = parsed.select("key", "art", "code", F.explode(tokens).alias("token"))
+    rows = parsed.select("key", F.hash("art").alias("art"), "code", F.explode(tokens).alias("token"))
     # A pair of words speaks for a line anywhere, a single word only within its article.
-    rows = rows.withColumn("art", F.when(F.col("token").contains(" "), F.lit("")).otherwise(F.col("art")))
+    rows = rows.withColumn("art", F.when(F.col("token").contains(" "), F.lit(0)).otherwise(F.col("art")))
     seen = rows.where("code <> ''").groupBy("art", "token", "code").agg(F.count(F.lit(1)).alias("m"))
     total = seen.groupBy("art", "token").agg(F.sum("m").alias("n"))
     stands = seen.join(total, ["art", "token"]).where(F.col("m") >= SHARE * F.col("n"))
     stands = stands.select("art", "token", F.col("code").alias("line"), (F.col("m") / F.col("n") * F.when(F.col("token").contains(" "), 3).otherwise(1)).alias("w"), "m")
     # The line's name: the frequent pair of the rarest words.
-    df = total.where("art <> ''").groupBy("token").agg(F.sum("n").alias("df"))
+    df = total.where("not contains(token, ' ')").groupBy("token").agg(F.sum("n").alias("df"))
     word = lambda i: df.select(F.col("token").alias(f"w{i}"), F.col("df").alias(f"df{i}"))
-    twos = stands.where("art = '' and w >= 1.5").select("line", "token", "m", F.split("token", " ")[0].alias("w1"), F.split("token", " ")[1].alias("w2"))
+    twos = stands.where("contains(token, ' ') and w >= 1.5").select("line", "token", "m", F.split("token", " ")[0].alias("w1"), F.split("token", " ")[1].alias("w2"))
     twos = twos.join(word(1), "w1").join(word(2), "w2").withColumn("rank", F.col("m") * (1 / F.col("df1") + 1 / F.col("df2")))
     name = twos.groupBy("line").agg(F.max_by("token", F.struct("rank", "token")).alias("name"))
     open_ = rows.where("code = ''").select("key", "art", "token")
@@ -124,4 +128,4 @@ def listings(modern: DataFrame | None, third: DataFrame | None, legacy: DataFram
 def products(found: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """Listings (key, title, model) with art, code, words, block; written once, as it is read several times."""
     parsed = cut(parse(found, lexicon))
-    return lines(cut(lines(blocks(parsed))))
+    return lines(blocks(parsed))

@@ -87,7 +87,11 @@ class Lexicon:
 
 def plain(text: str | None) -> str:
     """Lower case without entities, broken UTF-8, accents and repeated blanks."""
-    s = html.unescape(text or "")
+    s = text or ""
+    if "&" in s:
+        s = html.unescape(s)
+    if s.isascii():
+        return " ".join(s.lower().split())
     if "Ã" in s or "ã©" in s or "Â" in s:
         try:
             s = s.replace("ã©", "Ã©").encode("cp1252").decode("utf-8")
@@ -149,7 +153,8 @@ class Parser:
         for w in self.article:
             for n in (len(w) - 1, len(w), len(w) + 1) if len(w) > 5 else ():
                 self.by_size.setdefault(n, []).append(w)
-        self.short = re.compile(rf"(?<![a-z0-9])({alt(SHORT)})\.?(?![a-z0-9])")
+        self.word = re.compile(r"[a-z]+(?:(?<=[a-z]{3})\.(?= ))?")
+        self.cache: dict[str, str] = {}
 
     def repair(self, w: str) -> str:
         """A word one error away from a word of the fixed phrases becomes it (words of five letters or more; shorter ones only by a doubled or swapped letter)."""
@@ -167,6 +172,17 @@ class Parser:
                 self.fixed[w] = hit
         return hit
 
+    def known(self, m) -> str:
+        """A word as it is meant: spelt out if cut short, repaired if misspelt."""
+        w = m[0]
+        hit = self.cache.get(w)
+        if hit is None:
+            bare = w.rstrip(".")
+            hit = SHORT.get(bare) or (self.repair(bare) + w[len(bare) :])
+            if len(self.cache) < 500_000:
+                self.cache[w] = hit
+        return hit
+
     def misspelt(self, s: str) -> list:
         """The article of a title that spells it with one error, where only one article is that near."""
         spans = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9'-]+", s)]
@@ -181,32 +197,41 @@ class Parser:
         found = {x for x in found if x[1] - x[0] == longest}
         return sorted(found) if len({a for *_, a in found}) == 1 else []
 
+    # (what must occur, pattern, dimension, factor)
+    COUNTED = [
+        (" of ", r"(?<![\w.])(?:pack|set) of (\d+)\b", "pack", 1),
+        ("", r"(?<![\w.])(\d+)(?:-| )?(?:er[- ]pack|er pack|-?pack|pk|ct(?!\.)|units?|count)\b(?!\.)", "pack", 1),
+        ("", r"(?<![\w.])(\d+)[ -]?(?:pieces?|pcs|ct\.)(?![a-z])", "pieces", 1),
+        ("x", r"(?<![\w.])x ?(\d+)\b", "pack", 1),
+        ("er", r"(?<![\w.])(\d+)er\b", "pack", 1),
+        ("pl", r"(?:up to |1 ?- ?)?(?<![\w.])(\d+) ?(?:players?|plyrs)\b", "players", 1),
+        ("sheet", r"(?<![\w.])(\d+) ?sheets?\b", "pages", 2),
+        ("p", r"(?<![\w.])(\d+) ?(?:pages?|pgs|pp)\b", "pages", 1),
+        ("max", r"\bmax\.? ?(\d+(?:[.,]\d+)?) ?kg\b", "load", 1),
+        ("capacity", r"(?<![\w.])(\d+(?:[.,]\d+)?) ?lbs? capacity\b", "load", 0.45359237),
+        ("dpi", r"(?<![\w.])(\d+(?:\.\d+)?) ?k ?dpi\b", "resolution", 1000),
+        ("s", r"\b(?:us|uk)? ?(?:size|sz\.?) ?(\d+)\b", "shoe", 1),
+        ("eu", r"\beu ?(\d+)\b", "shoe", 0),
+        ("us", r"\bus ?(\d+)\b", "shoe", 1),
+    ]
+    COUNTED = [(need, re.compile(p), d, f) for need, p, d, f in COUNTED]
+    DIGIT = re.compile(r"\d")
+    MEASURED = re.compile(rf"(?<![\w.,])({NUMBER})[ -]?({UNIT})(?![a-z0-9])(?: (?:battery|playtime|capacity))?")
+
     def numeric(self, s: str, article: str, out: list) -> str:
         """Takes counted and measured variants out of s."""
+        if not self.DIGIT.search(s):
+            return s
+        for need, pattern, dim, factor in self.COUNTED:
+            if need in s:
 
-        def take(pattern, name, value=lambda m: float(number(m[1]) or 0)):
-            nonlocal s
-            def put(m):
-                v = value(m)
-                if v:
-                    out.append((name, v))
-                return " | "
-            s = re.sub(pattern, put, s)
-
-        take(r"(?<![\w.])(?:pack|set) of (\d+)\b", "pack")
-        take(r"(?<![\w.])(\d+)(?:-| )?(?:er[- ]pack|er pack|-?pack|pk|ct(?!\.)|units?|count)\b(?!\.)", "pack")
-        take(r"(?<![\w.])(\d+)[ -]?(?:pieces?|pcs|ct\.)(?![a-z])", "pieces")
-        take(r"(?<![\w.])x ?(\d+)\b", "pack")
-        take(r"(?<![\w.])(\d+)er\b", "pack")
-        take(r"(?:up to |1 ?- ?)?(?<![\w.])(\d+) ?(?:players?|plyrs)\b", "players")
-        take(r"(?<![\w.])(\d+) ?sheets?\b", "pages", lambda m: float(m[1]) * 2)
-        take(r"(?<![\w.])(\d+) ?(?:pages?|pgs|pp)\b", "pages")
-        take(r"\bmax\.? ?(\d+(?:[.,]\d+)?) ?kg\b", "load")
-        take(r"(?<![\w.])(\d+(?:[.,]\d+)?) ?lbs? capacity\b", "load", lambda m: (number(m[1]) or 0) * 0.45359237)
-        take(r"(?<![\w.])(\d+(?:\.\d+)?) ?k ?dpi\b", "resolution", lambda m: (number(m[1]) or 0) * 1000)
-        take(r"\b(?:us|uk)? ?(?:size|sz\.?) ?(\d+)\b", "shoe")
-        take(r"\beu ?(\d+)\b", "shoe", lambda m: float(SHOES.get(m[1], m[1])))
-        take(r"\bus ?(\d+)\b", "shoe")
+                def put(m, dim=dim, factor=factor):
+                    v = (number(m[1]) or 0) * factor if factor else float(SHOES.get(m[1], m[1]))
+                    if v:
+                        out.append((dim, float(v)))
+                    return " | "
+
+                s = pattern.sub(put, s)
 
         def measured(m):
             unit = re.sub(r"[ .]", "", m[2])
@@ -220,13 +245,12 @@ class Parser:
             out.append(("load" if article in LOADED and dim == "mass" else dim, value))
             return " | "
 
-        s = re.sub(rf"(?<![\w.,])({NUMBER})[ -]?({self.UNIT})(?![a-z0-9])(?: (?:battery|playtime|capacity))?", measured, s)
-        return s
+        return self.MEASURED.sub(measured, s)
 
     def parse(self, title: str | None) -> dict:
         s = plain(title)
-        s = re.sub(r"[a-z]{4,}", lambda m: self.repair(m[0]), s)
-        s = self.marketing.sub(" | ", self.short.sub(lambda m: SHORT[m[1]], s))
+        s = self.word.sub(self.known, s)
+        s = self.marketing.sub(" | ", s)
         codes = []
 
         def code(m):

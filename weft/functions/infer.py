@@ -28,7 +28,7 @@ def is_code(c: Column) -> Column:
 
 def could_be_date(parts: Column) -> Column:
     """Three numbers that make a date in one of three orders."""
-    n = [F.element_at(parts, i).try_cast("int") for i in (1, 2, 3)]
+    n = [F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3)]
 
     def valid(month: Column, day: Column, year: Column) -> Column:
         ok = month.between(1, 12) & (day >= 1) & (year > 0)

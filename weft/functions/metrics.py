@@ -62,9 +62,10 @@ def levenshtein_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def numeric_similarity(a: Column, b: Column) -> Column:
-    """1 for two zeros, else 1 - |a - b| / larger magnitude, not below 0."""
+    """1 for two zeros, else 1 - |a - b| / larger magnitude, not below 0; null if either is null."""
     most = F.greatest(F.abs(a), F.abs(b))
-    return F.when(most == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(a - b) / most))
+    # greatest() passes over nulls, so that they are ruled out first.
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(most == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(a - b) / most)))
 
 
 def kl(p: Column, q: Column) -> Column:

@@ -197,3 +197,11 @@ def equal_width_histogram(spark, d):
 def column_sizes(spark, d):
     out = P.cells(table(spark, d, "customer"), "customer", ["c_name", "c_mktsegment"]).unionByName(P.cells(table(spark, d, "part"), "part", ["p_name", "p_type"]))
     return P.counted(out).groupBy("dataset", "column").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("total"), F.count("value").alias("distinct"))
+
+
+@query("""select strftime(time_bucket(interval 1 day, ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n, count(*) filter (value is null) as nulls, min(value) as least, max(value) as most, round(sum(value), 4) as total from events group by 1, 2""")
+def windowed_events(spark, d):
+    """Daily profile of the events: the batch form of the streaming profile."""
+    from weft.streaming.incremental import windowed
+
+    return windowed(table(spark, d, "events"))

@@ -84,21 +84,22 @@ def lines(parsed: DataFrame) -> DataFrame:
     """Fills code from the name words where it is empty; parsed needs key, art, code, words."""
     pair = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.element_at("words", i + 1), F.element_at("words", i + 2)))
     tokens = F.concat(F.array_distinct("words"), F.when(F.size("words") >= 2, F.array_distinct(pair)).otherwise(F.array().cast("array<string>")))
-    rows = parsed.select("key", F.hash("art").alias("art"), "code", F.explode(tokens).alias("token"))
     # A pair of words speaks for a line anywhere, a single word only within its article.
-    rows = rows.withColumn("art", F.when(F.col("token").contains(" "), F.lit(0)).otherwise(F.col("art")))
-    seen = rows.where("code <> ''").groupBy("art", "token", "code").agg(F.count(F.lit(1)).alias("m"))
-    total = seen.groupBy("art", "token").agg(F.sum("m").alias("n"))
-    stands = seen.join(total, ["art", "token"]).where(F.col("m") >= SHARE * F.col("n"))
-    stands = stands.select("art", "token", F.col("code").alias("line"), (F.col("m") / F.col("n") * F.when(F.col("token").contains(" "), 3).otherwise(1)).alias("w"), "m")
+    def flat(which: str, *keep: str) -> DataFrame:
+        t = parsed.where(which).select(*keep, F.hash("art").alias("art"), F.explode(tokens).alias("token"))
+        return t.withColumn("art", F.when(F.col("token").contains(" "), F.lit(0)).otherwise(F.col("art")))
+
+    seen = cut(flat("code <> ''", "code").groupBy("art", "token", "code").agg(F.count(F.lit(1)).alias("m")))
+    stands = seen.withColumn("n", F.sum("m").over(W.partitionBy("art", "token"))).where(F.col("m") >= SHARE * F.col("n"))
+    stands = cut(stands.select("art", "token", F.col("code").alias("line"), (F.col("m") / F.col("n") * F.when(F.col("token").contains(" "), 3).otherwise(1)).alias("w"), "m", "n"))
     # The line's name: the frequent pair of the rarest words.
-    df = total.where("not contains(token, ' ')").groupBy("token").agg(F.sum("n").alias("df"))
+    df = seen.where("not contains(token, ' ')").groupBy("token").agg(F.sum("m").alias("df"))
     word = lambda i: df.select(F.col("token").alias(f"w{i}"), F.col("df").alias(f"df{i}"))
     twos = stands.where("contains(token, ' ') and w >= 1.5").select("line", "token", "m", F.split("token", " ")[0].alias("w1"), F.split("token", " ")[1].alias("w2"))
-    twos = twos.join(word(1), "w1").join(word(2), "w2").withColumn("rank", F.col("m") * (1 / F.col("df1") + 1 / F.col("df2")))
+    rarity = lambda i: F.coalesce(1 / F.col(f"df{i}"), F.lit(0.0))
+    twos = twos.join(word(1), "w1", "left").join(word(2), "w2", "left").withColumn("rank", F.col("m") * (rarity(1) + rarity(2)))
     name = twos.groupBy("line").agg(F.max_by("token", F.struct("rank", "token")).alias("name"))
-    open_ = rows.where("code = ''").select("key", "art", "token")
-    votes = open_.join(stands, ["art", "token"]).groupBy("key", "line").agg(F.sum("w").alias("score"))
+    votes = flat("code = ''", "key").join(stands.select("art", "token", "line", "w"), ["art", "token"]).groupBy("key", "line").agg(F.sum("w").alias("score"))
     votes = votes.join(name, "line").join(parsed.where("code = ''").select("key", "words"), "key")
     off = lambda i: F.array_min(F.transform("words", lambda w: F.levenshtein(w, F.split("name", " ")[i])))
     votes = votes.withColumn("off", off(0) + off(1)).where("off <= 2")

@@ -138,8 +138,7 @@ def match(values: DataFrame, reference: DataFrame, aliases: dict[str, list[str]]
     hint = F.broadcast if small else (lambda d: d)
     rows = _indexed(values, ["kind", "value"]).select("kind", "value", "form", F.explode("grams").alias("gram"))
     # A trigram that no name has weighs as the rarest.
-    most = F.lit(5.0)
-    lookup = rows.join(hint(weight), ["kind", "gram"], "left").withColumn("q", F.coalesce("w", most))
+    lookup = rows.join(hint(weight), ["kind", "gram"], "left").join(hint(n), "kind").withColumn("q", F.coalesce("w", F.least(F.lit(5.0), F.log("n") + 0.3))).drop("n")
     own = lookup.groupBy("kind", "value", "form").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("own"))
     hits = lookup.where("w is not null").select("kind", "value", "form", "gram").join(hint(index), ["kind", "gram"])
     dot = hits.groupBy("kind", "value", "form", "ref_id", "name", "norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))

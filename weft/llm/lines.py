@@ -29,8 +29,8 @@ COUNTS = ["pack", "pieces", "players", "pages", "shoe"]
 SHARE = 0.15
 
 
-def parse(listings: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """listings: key, title, model (a code from elsewhere, or null) -> PARSED."""
+def parse(listings: DataFrame, lexicon: Lexicon | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """listings: key, title, model (a code from elsewhere, or null) -> PARSED and the columns keep, which pass through untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(lexicon)
@@ -43,9 +43,11 @@ def parse(listings: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
                 code = p["codes"][0] if p["codes"] else (model or "").replace("-", "").replace(" ", "").upper()
                 for column, x in zip(out, (key, f"{p['acc']}|{p['article']}", code, " ".join(p["names"]), [f"{d}={v:.6g}" for d, v in p["dims"]], p["words"])):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "art", "code", "names", "dims", "words"])
+            more = [b.column(3 + i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(out, kinds)], *more], names=["key", "art", "code", "names", "dims", "words", *keep])
 
-    return listings.select("key", "title", "model").mapInArrow(run, PARSED)
+    of = dict(listings.dtypes)
+    return listings.select("key", "title", "model", *keep).mapInArrow(run, ", ".join([PARSED, *[f"{c} {of[c]}" for c in keep]]))
 
 
 def cuts(parsed: DataFrame) -> dict[str, list[float]]:

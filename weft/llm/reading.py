@@ -109,7 +109,7 @@ def difficulty(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
 def levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score, reading_level of every document; both null where the text has no words."""
     s = difficulty(documents, labels)
-    return documents.select("doc_id").join(s, "doc_id", "left").select("doc_id", F.round("score", 4).alias("score"), F.greatest(F.lit(1), F.least(F.lit(4), F.round("score"))).cast("int").alias("reading_level"))
+    return documents.select("doc_id").join(s, "doc_id", "left").select("doc_id", F.round("score", 4).alias("score"), F.when(F.col("score").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(4), F.round("score")))).cast("int").alias("reading_level"))
 
 
 def p10_levels(spark, folder):

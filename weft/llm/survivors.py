@@ -13,9 +13,9 @@ only those few are compared.
 
 Credible values
   prices: above zero, no stand-in, and within FACTOR of the group's usual price.
-      The usual price is the densest place of the group's logarithms; where
-      places tie or one value stands alone, the place nearest to the usual
-      price of the category decides.
+      The usual price is the densest place of the group's logarithms, where a
+      place more than a decade off the category's median counts a
+      quarter; where places tie, the one nearest to that median decides.
   counts: zero or more, no stand-in, and at most half an order of magnitude
       above the 90th percentile of the table.
   texts: not blank, and at least half as long as the group's longest.
@@ -56,6 +56,9 @@ def usual_prices(rows: DataFrame) -> DataFrame:
     mine = mine.withColumn("category", F.max("category").over(W.partitionBy("cluster_id")))
     near = F.sum("n").over(W.partitionBy("cluster_id").orderBy("bin").rangeBetween(-3, 3))
     mine = mine.withColumn("near", near)
+    # A place more than a decade from what the category costs counts a quarter.
+    off = F.abs(F.col("bin") - F.coalesce("centre", F.col("bin")))
+    mine = mine.withColumn("near", F.when(off * STEP > 1.0, 0.25 * F.col("near")).otherwise(F.col("near").cast("double")))
     best = mine.groupBy("cluster_id").agg(F.max_by("bin", F.struct("near", -F.abs(F.col("bin") - F.coalesce("centre", F.col("bin"))), "n", -F.col("bin"))).alias("bin"))
     # The mean of the place and its neighbours, so that a price on a border is not off.
     mean = mine.select("cluster_id", F.col("bin").alias("b"), "n").join(best, "cluster_id").where(F.abs(F.col("b") - F.col("bin")) <= 3)

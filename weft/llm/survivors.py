@@ -15,7 +15,8 @@ Credible values
   prices: above zero, no stand-in, and within FACTOR of the group's usual price.
       The usual price is the densest place of the group's logarithms, where a
       place more than a decade off the category's median counts a
-      quarter; where places tie, the one nearest to that median decides.
+      quarter; where places tie, the one nearest to that median decides.  A usual
+      price more than one and a half decades off that median is none.
   counts: zero or more, no stand-in, and at most half an order of magnitude
       above the 90th percentile of the table.
   texts: not blank, and at least half as long as the group's longest.
@@ -60,6 +61,8 @@ def usual_prices(rows: DataFrame) -> DataFrame:
     off = F.abs(F.col("bin") - F.coalesce("centre", F.col("bin")))
     mine = mine.withColumn("near", F.when(off * STEP > 1.0, 0.25 * F.col("near")).otherwise(F.col("near").cast("double")))
     best = mine.groupBy("cluster_id").agg(F.max_by("bin", F.struct("near", -F.abs(F.col("bin") - F.coalesce("centre", F.col("bin"))), "n", -F.col("bin"))).alias("bin"))
+    # A single place that far from the category is no price either.
+    best = best.join(mine.select("cluster_id", "bin", "centre"), ["cluster_id", "bin"]).where(F.abs(F.col("bin") - F.coalesce("centre", F.col("bin"))) * STEP <= 1.5).select("cluster_id", "bin")
     # The mean of the place and its neighbours, so that a price on a border is not off.
     mean = mine.select("cluster_id", F.col("bin").alias("b"), "n").join(best, "cluster_id").where(F.abs(F.col("b") - F.col("bin")) <= 3)
     return mean.groupBy("cluster_id").agg((F.sum((F.col("b") + 0.5) * F.col("n")) / F.sum("n") * STEP).alias("usual"))

@@ -114,11 +114,16 @@ def segment(unit: str, prior: Mapping[str, float] | None = None) -> tuple[str, s
     Base units: kg, l, m, w, v, h, dpi.  Compound units have dimensions joined
     by spaces ("length^2").
     """
-    text = re.sub(r"[\s_-]+", "", (unit or "").lower()).rstrip(".").replace("″", '"').replace("′", "'").replace("”", '"').replace("’", "'").replace("fl.", "fl")
+    return _known(unit or "", _freeze(prior) if prior else ())
+
+
+@lru_cache(maxsize=200_000)
+def _known(unit: str, prior: tuple) -> tuple[str, str, float] | None:
+    text = re.sub(r"[\s_-]+", "", unit.lower()).rstrip(".").replace("″", '"').replace("′", "'").replace("”", '"').replace("’", "'").replace("fl.", "fl")
     text = re.sub(r"(?<=[a-z])\.(?=[a-z])", "", text)
     if not text or len(text) > 40:
         return None
-    found = _segment(text, _freeze(prior))
+    found = _segment(text, prior)
     if found is None:
         return None
     _, dims, factor, units, _ = found
@@ -129,17 +134,23 @@ NUMBER = r"(?:\d{1,3}(?:[ ,.]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d+)?|[.,]\d+)"
 _QUANTITY = re.compile(rf"({NUMBER})\s*-?\s*((?:fl\.?\s*oz|fluid ounces?|[a-zµ]+(?:[²³]|\^[23])?(?:/[a-z]+[23²³]?)?|[\"'#″′”’])\.?s?\.?)?", re.I)
 
 
+_NUMERIC = re.compile(r"[-+]?(\d[\d.,]*|[.,]\d+)")
+_GROUPED = re.compile(r"[-+]?[1-9]\d{0,2}(,\d{3})+")
+
+
 def number(text: str | None, grouped: bool = True) -> float | None:
     """A number written with a point or a comma; None if there is none.
 
     "1,299" is 1299 if grouped, "0,417" is 0.417 always.
     """
-    s = re.sub(r"\s", "", text or "")
-    if not re.fullmatch(r"[-+]?(\d[\d.,]*|[.,]\d+)", s):
+    s = "".join((text or "").split())
+    if s.isdigit() and s.isascii():
+        return float(s)
+    if not _NUMERIC.fullmatch(s):
         return None
     if "," in s and "." in s:
         s = s.replace("," if s.rfind(".") > s.rfind(",") else ".", "").replace(",", ".")
-    elif re.fullmatch(r"[-+]?[1-9]\d{0,2}(,\d{3})+", s) and grouped:
+    elif grouped and "," in s and _GROUPED.fullmatch(s):
         s = s.replace(",", "")
     else:
         s = s.replace(",", ".") if s.count(",") == 1 else s.replace(",", "")

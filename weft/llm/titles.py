@@ -117,8 +117,30 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
 
 
+_WORD = re.compile(r"[a-z0-9][a-z0-9'-]*")
+
+
 def _words(s: str) -> list[str]:
-    return re.findall(r"[a-z0-9][a-z0-9'-]*", s)
+    return _WORD.findall(s)
+
+
+def one_of(words) -> str:
+    """A pattern for any of the words, the longest first, as a tree of their beginnings: a search tries one branch, not every word."""
+    top: dict = {}
+    for w in words:
+        at = top
+        for ch in w:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def build(at: dict) -> str:
+        parts = [re.escape(ch) + build(at[ch]) for ch in sorted(at) if ch]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        return f"(?:{body})?" if "" in at else body
+
+    return build(top)
 
 
 class Parser:
@@ -128,7 +150,7 @@ class Parser:
 
     def __init__(self, lex: Lexicon | None = None):
         lex = lex or Lexicon()
-        alt = lambda xs: "|".join(re.escape(x) for x in sorted(xs, key=len, reverse=True))
+        alt = one_of
         self.article = {plain(w): a[0] for a in lex.articles for w in a}
         self.articles = re.compile(rf"(?<![a-z0-9])({alt(self.article)})(?![a-z0-9])")
         self.acc = {plain(w): k for k, ws in lex.accessories.items() for w in ws}
@@ -234,8 +256,7 @@ class Parser:
                 s = pattern.sub(put, s)
 
         def measured(m):
-            unit = re.sub(r"[ .]", "", m[2])
-            u = segment("floz" if unit == "floz" else unit)
+            u = segment(m[2])
             v = number(m[1], grouped=False)
             if u is None or not v:
                 return m[0]

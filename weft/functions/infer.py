@@ -44,11 +44,13 @@ def could_be_date(parts: Column) -> Column:
 
 def date_like(c: Column) -> Column:
     """Three date parts between "-", "/", "." or blanks, or an ISO time stamp; not a phone number or code."""
+    # Most values are ruled out by one pattern before they are split.
+    looks = c.rlike(r"^[0-9]{1,9}([-/. ])[0-9]{1,9}\1[0-9]{1,9}$")
     shaped = F.lit(False)
     for sep in ("-", "/", ".", " "):
         shaped = shaped | (c.contains(sep) & could_be_date(F.split(c, "[.]" if sep == "." else sep)))
     stamp = c.contains("T") & c.contains(":") & c.contains("-")
-    return (shaped | stamp) & ~is_phone(c) & ~is_code(c)
+    return F.when(looks | stamp, (shaped | stamp) & ~is_phone(c) & ~is_code(c)).otherwise(False)
 
 
 def is_integer(c: Column) -> Column:

@@ -91,6 +91,11 @@ def plan(sizes: DataFrame, targets: DataFrame) -> tuple[list[dict], float]:
     return rows, mix
 
 
+def ranges(rows: list[dict]) -> int:
+    """Hash ranges of the prefix sums: at most about half a million documents of a source in each."""
+    return max(256, max((r["docs"] for r in rows), default=0) // 500_000)
+
+
 def mix(documents: DataFrame, targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, source, copy (from 1), tokens, slot, place (order inside the slot's block: tokens of the source before the row).
 
@@ -103,7 +108,7 @@ def mix(documents: DataFrame, targets: DataFrame, slots: int = SLOTS) -> DataFra
     schema = "source string, size long, budget long"
     small = F.broadcast(spark.createDataFrame([(r["source"], r["size"], r["budget"]) for r in live], schema))
     order = F.xxhash64("source", "doc_id").bitwiseAND(F.lit(SPAN - 1))
-    docs = running_total(sizes.join(small, "source"), ["source"], order, "tokens", "before")
+    docs = running_total(sizes.join(small, "source"), ["source"], order, "tokens", "before", ranges(rows))
     # The mix of a source is its stream, passed again and again, up to its budget.
     copies = F.sequence(F.lit(0), F.floor((F.col("budget") - F.col("before") - 1) / F.col("size")))
     taken = docs.where("before < budget").select("doc_id", "source", "tokens", "before", "size", "budget", F.explode(copies).alias("k"))
@@ -124,7 +129,7 @@ def shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     order = F.xxhash64("source", "doc_id").bitwiseAND(F.lit(SPAN - 1))
     small = F.broadcast(spark.createDataFrame(live, "source string, size long, budget long"))
-    docs = running_total(sizes.join(small, "source"), ["source"], order, "tokens", "before")
+    docs = running_total(sizes.join(small, "source"), ["source"], order, "tokens", "before", ranges(rows))
     n = F.greatest(F.lit(0), F.floor((F.col("budget") - F.col("before") - 1) / F.col("size")) + 1)
     got = docs.withColumn("n", n).groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).cast("long").alias("tokens"), F.sum("n").cast("long").alias("copies"), F.max("n").cast("int").alias("most_copies"))
     want = spark.createDataFrame([(r["source"], r["target"], r["cap"], r["size"], r["docs"]) for r in rows], "source string, target_share double, max_repeats int, available long, documents long")

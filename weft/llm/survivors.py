@@ -22,7 +22,7 @@ Credible values
   texts: not blank, and at least half as long as the group's longest.
 Stand-ins are the listed values and any price that FREQUENT of all rows share.
 
-Nulls: rows without group are left out; a null time is the earliest, null
+Other columns than those named are left out.  Nulls: rows without group are left out; a null time is the earliest, null
 source records count as 0.  A group without a credible value has none (null in
 the record, no row in the choice).
 """
@@ -41,6 +41,7 @@ FREQUENT = 0.004
 PRICE_STANDINS = [0.0, 0.01, 9999.99, 99999.99, 999999.99, 99999.0, 999999.0]
 COUNT_STANDINS = [-1, 99999, 999999, 9999999]
 TEXTS = ["product_name", "brand", "product_sku", "product_category", "manufacturer", "is_active", "dimensions", "source_file"]
+NEEDED = ["cluster_id", "row_id", "source_records", "updated_at", "list_price", "inventory_count", "weight_lbs", *TEXTS]
 #: Width of a price place, in decimal logarithms.
 STEP = 0.1
 
@@ -70,7 +71,7 @@ def usual_prices(rows: DataFrame) -> DataFrame:
 
 def marked(rows: DataFrame) -> DataFrame:
     """Adds credible_price and credible_count to the rows of a deduplicated table."""
-    rows = rows.where(F.col("cluster_id").isNotNull())
+    rows = rows.where(F.col("cluster_id").isNotNull()).select(*[c for c in rows.columns if c in NEEDED])
     total = rows.agg(F.count("list_price").alias("n"), F.percentile_approx(F.when((F.col("inventory_count") >= 0) & ~F.col("inventory_count").isin(COUNT_STANDINS), F.col("inventory_count")), 0.9, 10000).alias("q")).first()
     often = rows.where("list_price is not null").groupBy("list_price").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(6, FREQUENT * total["n"])).limit(int(1 / FREQUENT) + 1)
     standins = sorted({*PRICE_STANDINS, *[r["list_price"] for r in often.collect()]})

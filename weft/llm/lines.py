@@ -34,17 +34,16 @@ def parse(listings: DataFrame, lexicon: Lexicon | None = None, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(lexicon)
-        kinds = [pa.string()] * 4 + [pa.list_(pa.string())] * 2
+        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] * 2
         for b in batches:
             out: list[list] = [[] for _ in kinds]
-            keys, titles, models = (b.column(i).to_pylist() for i in range(3))
-            for key, title, model in zip(keys, titles, models):
+            for title, model in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 p = parser.parse(title)
                 code = p["codes"][0] if p["codes"] else (model or "").replace("-", "").replace(" ", "").upper()
-                for column, x in zip(out, (key, f"{p['acc']}|{p['article']}", code, " ".join(p["names"]), [f"{d}={v:.6g}" for d, v in p["dims"]], p["words"])):
+                for column, x in zip(out, (f"{p['acc']}|{p['article']}", code, " ".join(p["names"]), [f"{d}={v:.6g}" for d, v in p["dims"]], p["words"])):
                     column.append(x)
             more = [b.column(3 + i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(out, kinds)], *more], names=["key", "art", "code", "names", "dims", "words", *keep])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)], *more], names=["key", "art", "code", "names", "dims", "words", *keep])
 
     of = dict(listings.dtypes)
     return listings.select("key", "title", "model", *keep).mapInArrow(run, ", ".join([PARSED, *[f"{c} {of[c]}" for c in keep]]))
@@ -106,7 +105,9 @@ def lines(parsed: DataFrame) -> DataFrame:
     off = lambda i: F.array_min(F.transform("words", lambda w: F.levenshtein(w, F.split("name", " ")[i])))
     votes = votes.withColumn("off", off(0) + off(1)).where("off <= 2")
     best = votes.groupBy("key").agg(F.min(F.struct("off", (-F.col("score")).alias("s"), "line")).alias("b")).select("key", F.col("b.line").alias("line"))
-    return parsed.join(best, "key", "left").withColumn("code", F.when(F.col("code") == "", F.coalesce("line", F.lit(""))).otherwise(F.col("code"))).drop("line")
+    # Only the open rows are joined.
+    filled = parsed.where("code = ''").join(best, "key", "left").withColumn("code", F.coalesce("line", F.lit(""))).drop("line")
+    return parsed.where("code <> ''").unionByName(filled)
 
 
 def listings(modern: DataFrame | None, third: DataFrame | None, legacy: DataFrame | None = None) -> DataFrame:

@@ -219,22 +219,22 @@ class Parser:
         found = {x for x in found if x[1] - x[0] == longest}
         return sorted(found) if len({a for *_, a in found}) == 1 else []
 
-    # (what must occur, pattern, dimension, factor)
+    # (texts of which one must occur, pattern, dimension, factor)
     COUNTED = [
-        (" of ", r"(?<![\w.])(?:pack|set) of (\d+)\b", "pack", 1),
-        ("", r"(?<![\w.])(\d+)(?:-| )?(?:er[- ]pack|er pack|-?pack|pk|ct(?!\.)|units?|count)\b(?!\.)", "pack", 1),
-        ("", r"(?<![\w.])(\d+)[ -]?(?:pieces?|pcs|ct\.)(?![a-z])", "pieces", 1),
-        ("x", r"(?<![\w.])x ?(\d+)\b", "pack", 1),
-        ("er", r"(?<![\w.])(\d+)er\b", "pack", 1),
-        ("pl", r"(?:up to |1 ?- ?)?(?<![\w.])(\d+) ?(?:players?|plyrs)\b", "players", 1),
-        ("sheet", r"(?<![\w.])(\d+) ?sheets?\b", "pages", 2),
-        ("p", r"(?<![\w.])(\d+) ?(?:pages?|pgs|pp)\b", "pages", 1),
-        ("max", r"\bmax\.? ?(\d+(?:[.,]\d+)?) ?kg\b", "load", 1),
-        ("capacity", r"(?<![\w.])(\d+(?:[.,]\d+)?) ?lbs? capacity\b", "load", 0.45359237),
-        ("dpi", r"(?<![\w.])(\d+(?:\.\d+)?) ?k ?dpi\b", "resolution", 1000),
-        ("s", r"\b(?:us|uk)? ?(?:size|sz\.?) ?(\d+)\b", "shoe", 1),
-        ("eu", r"\beu ?(\d+)\b", "shoe", 0),
-        ("us", r"\bus ?(\d+)\b", "shoe", 1),
+        ((" of ",), r"(?<![\w.])(?:pack|set) of (\d+)\b", "pack", 1),
+        (("pack", "pk", "ct", "unit", "count"), r"(?<![\w.])(\d+)(?:-| )?(?:er[- ]pack|er pack|-?pack|pk|ct(?!\.)|units?|count)\b(?!\.)", "pack", 1),
+        (("piece", "pcs", "ct."), r"(?<![\w.])(\d+)[ -]?(?:pieces?|pcs|ct\.)(?![a-z])", "pieces", 1),
+        (("x",), r"(?<![\w.])x ?(\d+)\b", "pack", 1),
+        (("er",), r"(?<![\w.])(\d+)er\b", "pack", 1),
+        (("pl",), r"(?:up to |1 ?- ?)?(?<![\w.])(\d+) ?(?:players?|plyrs)\b", "players", 1),
+        (("sheet",), r"(?<![\w.])(\d+) ?sheets?\b", "pages", 2),
+        (("page", "pgs", "pp"), r"(?<![\w.])(\d+) ?(?:pages?|pgs|pp)\b", "pages", 1),
+        (("max",), r"\bmax\.? ?(\d+(?:[.,]\d+)?) ?kg\b", "load", 1),
+        (("capacity",), r"(?<![\w.])(\d+(?:[.,]\d+)?) ?lbs? capacity\b", "load", 0.45359237),
+        (("dpi",), r"(?<![\w.])(\d+(?:\.\d+)?) ?k ?dpi\b", "resolution", 1000),
+        (("size", "sz"), r"\b(?:us|uk)? ?(?:size|sz\.?) ?(\d+)\b", "shoe", 1),
+        (("eu",), r"\beu ?(\d+)\b", "shoe", 0),
+        (("us",), r"\bus ?(\d+)\b", "shoe", 1),
     ]
     COUNTED = [(need, re.compile(p), d, f) for need, p, d, f in COUNTED]
     DIGIT = re.compile(r"\d")
@@ -245,7 +245,7 @@ class Parser:
         if not self.DIGIT.search(s):
             return s
         for need, pattern, dim, factor in self.COUNTED:
-            if need in s:
+            if any(w in s for w in need):
 
                 def put(m, dim=dim, factor=factor):
                     v = (number(m[1]) or 0) * factor if factor else float(SHOES.get(m[1], m[1]))
@@ -281,7 +281,7 @@ class Parser:
             return " | "
 
         acc, target = "", ""
-        m = self.accs.search(s)
+        m = self.accs.search(s) if any(w in s for w in self.acc) else None
         arts = [(x.start(), x.end(), self.article[x[1]]) for x in self.articles.finditer(s)]
         arts = arts or self.misspelt(s)
         article = max(arts, key=lambda x: x[1] - x[0])[2] if arts else ""
@@ -297,7 +297,8 @@ class Parser:
                 s = s[:b] + " | " + s[e:]
         dims: list = []
         s = self.numeric(s, article, dims)
-        s = self.code.sub(code, s)
+        if self.DIGIT.search(s):
+            s = self.code.sub(code, s)
         names: list[str] = []
 
         def name(kind, table):
@@ -306,7 +307,8 @@ class Parser:
                 return " | "
             return put
 
-        s = self.flavours.sub(name("f:", self.flavour), s)
+        if any(w in s for w in self.flavour):
+            s = self.flavours.sub(name("f:", self.flavour), s)
         s = self.colours.sub(name("c:", self.colour), s)
         if article in SIZED:
             s = self.sizes.sub(name("s:", self.size), s)

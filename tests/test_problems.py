@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import drift, quality, weights
 from weft.operators import unify as U
-from weft.session import running_total
+from weft.session import exact_quantile, grouped_quantiles, running_total
 from weft.sources import readers, writers
 
 
@@ -132,3 +132,15 @@ def test_stream(spark, data, tmp_path):
     got, want = spark.read.parquet(str(tmp_path / "out")), I.windowed(batch)
     # The newest windows stay open until the watermark passes them.
     assert got.count() > 0 and got.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 100])
+def test_quantiles(spark, n):
+    r = np.random.default_rng(n)
+    x = [float(v) for v in r.integers(0, 40, n)]
+    df = spark.createDataFrame([("a", v) for v in x] + [("a", None), ("b", None)], "g string, v double")
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        want = float(np.quantile(x, q)) if n else None
+        got = {w["g"]: w["q"] for w in grouped_quantiles(df, ["g"], "v", q, "q").collect()}
+        assert got == ({"a": pytest.approx(want)} if n else {})
+        assert exact_quantile(df, "v", q) == (pytest.approx(want) if n else None)

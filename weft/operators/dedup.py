@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import metrics, text
 from weft.operators.graph import components
+from weft.session import exact_quantile, grouped_quantiles
 
 
 def id_block(c: Column) -> Column:
@@ -27,7 +28,7 @@ def text_block(c: Column) -> Column:
 
 def number_blocks(df: DataFrame, column: str, out: str) -> DataFrame:
     """low, medium or high by the exact quartiles of a column, "nan" for null; equal quartiles give one block, "medium"."""
-    q = df.agg(F.percentile(column, 0.25).alias("a"), F.percentile(column, 0.75).alias("b")).first()
+    q = {"a": exact_quantile(df, column, 0.25), "b": exact_quantile(df, column, 0.75)}
     c = F.col(column)
     if q["a"] is None or q["a"] == q["b"]:
         return df.withColumn(out, F.when(c.isNull(), "nan").otherwise("medium"))
@@ -76,7 +77,11 @@ def golden_records(df: DataFrame, group: str, order: str, numbers: list[str], te
     of = lambda c: F.trim(F.col(c))
     long_ = lambda c: F.max_by(of(c), F.when(F.length(of(c)) > 3, F.struct(F.length(of(c)), -F.col(order))))
     first = lambda c: F.min_by(of(c), F.when(of(c) != "", F.col(order)))
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("source_records"), *[F.median(c).alias(c) for c in numbers], *[F.coalesce(long_(c), first(c)).alias(c) for c in texts])
+    out = df.groupBy(group).agg(F.count(F.lit(1)).alias("source_records"), *[F.coalesce(long_(c), first(c)).alias(c) for c in texts])
+    for c in numbers:
+        m = grouped_quantiles(df, [group], c, 0.5, c).withColumnRenamed(group, "__g")
+        out = out.join(m, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+    return out
 
 
 def minhash_pairs(df: DataFrame, key: str, column: str, distance: float = 0.5, tables: int = 16) -> DataFrame:

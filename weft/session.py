@@ -78,3 +78,38 @@ def running_total(df: DataFrame, group: list[str], order: Column, value: str, ou
     inside = W.partitionBy(*group, "__b").orderBy("__o").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(inside), F.lit(0)))
     return rows.join(offsets, [*group, "__b"]).withColumn(out, F.col("__off") + F.col("__in")).drop("__b", "__o", "__off", "__in")
+
+
+def grouped_quantiles(df: DataFrame, group: list[str], value: str, q: float, out: str) -> DataFrame:
+    """group, out: the exact quantile of a numeric column in each group, between two values linearly.
+
+    Equal values are counted first; the counts are then added up in order, in
+    a window that streams and spills, so that no group is held in memory.
+    Nulls do not count; a group of nulls has no row.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    w = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+    run = n.withColumn("__to", F.sum("__n").over(w.orderBy("__v"))).withColumn("__all", F.sum("__n").over(w))
+    at = q * (F.col("__all") - 1)
+    lo, hi = F.floor(at), F.ceil(at)
+    inside = lambda r: (F.col("__to") - F.col("__n") <= r) & (r < F.col("__to"))
+    low, high = F.max(F.when(inside(lo), F.col("__v"))), F.max(F.when(inside(hi), F.col("__v")))
+    frac = F.max(at - lo)
+    return run.where(inside(lo) | inside(hi)).groupBy(*group).agg((low + (high - low) * frac).alias(out))
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """The exact quantile of a column over all rows; None without values.
+
+    Value counts are range-partitioned; only the ranges' sums are put in order
+    by one task.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    r = cut(n.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    sums = r.groupBy("p").agg(F.sum("n").alias("s"))
+    off = sums.select("p", (F.sum("s").over(W.orderBy("p")) - F.col("s")).alias("off"), F.sum("s").over(W.partitionBy(F.lit(0))).alias("all"))
+    rows = r.join(F.broadcast(off), "p").withColumn("to", F.col("off") + F.sum("n").over(W.partitionBy("p").orderBy("v")))
+    at = q * (F.col("all") - 1)
+    inside = lambda k: (F.col("to") - F.col("n") <= k) & (k < F.col("to"))
+    found = rows.agg(F.max(F.when(inside(F.floor(at)), F.col("v"))).alias("a"), F.max(F.when(inside(F.ceil(at)), F.col("v"))).alias("b"), F.max(at - F.floor(at)).alias("f")).first()
+    return None if found["a"] is None else found["a"] + (found["b"] - found["a"]) * found["f"]

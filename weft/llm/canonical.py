@@ -189,10 +189,10 @@ def p5_values(spark, folder):
 def p5_found(spark, folder):
     mapped = cut(p5_values(spark, folder))
     ref = table(spark, folder, "canonical_values")
-    names = {k: [r[0] for r in ref.where(F.col("kind") == k).select("canonical_name").collect()] for k in ("category", "brand")}
     out = None
     for t, c, k, _ in FIELDS:
-        rows = table(spark, folder, t).where(F.col(c).isNotNull() & ~F.col(c).isin(names[k])).select(F.lit(f"{t}.{c}").alias("field_name"), "row_no", F.col(c).alias("value"))
-        rows = rows.join(mapped.where(F.col("kind") == k).select("value", "ref_id"), "value").select("field_name", "row_no", "ref_id")
+        exact = ref.where(F.col("kind") == k).select(F.col("canonical_name").alias("value"))
+        rows = table(spark, folder, t).where(F.col(c).isNotNull()).select("row_no", F.col(c).alias("value")).join(exact, "value", "left_anti")
+        rows = rows.join(mapped.where(F.col("kind") == k).select("value", "ref_id"), "value").select(F.lit(f"{t}.{c}").alias("field_name"), "row_no", "ref_id")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.llm import canonical, encoding, linkage, mixing, reading, same_product, stars, survivors
-from weft.llm.lines import listings
+from weft.llm.lines import lines, listings
 from weft.llm.titles import Parser, agree, near, plain
 from weft.session import table
 
@@ -254,3 +254,17 @@ def test_queries_run(spark, data):
         assert df.count() >= 0, name
     cols = {n: queries.QUERIES[n](spark, data).columns for n in ("p1_found", "p3_found", "p5_found", "p7_found", "p8_ids", "p10_found")}
     assert cols == {"p1_found": ["key_a", "key_b"], "p3_found": ["asin", "item_code"], "p5_found": ["field_name", "row_no", "ref_id"], "p7_found": ["cluster_id", "field_name", "row_id"], "p8_ids": ["doc_id", "ids"], "p10_found": ["doc_id", "reading_level"]}
+
+
+# What a cut job would lose
+
+
+def test_labels_spread_until_none_is_gained(spark):
+    # The words of C speak for the line only once B is labelled, those of D once C is, and so on.
+    words = [["riven", "fetili"], ["riven", "fetili", "moka"], ["moka", "rivem", "fetilj"], ["moka", "rivem", "fetilj", "sudo"], ["sudo", "rixen", "fetixi"], ["other", "words"]]
+    rows = [(f"K{i}", "|mat", "ABC1234" if i == 0 else "", w) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "key string, art string, code string, words array<string>")
+    got = {r["key"]: r["code"] for r in lines(df).collect()}
+    assert got == {f"K{i}": "ABC1234" for i in range(5)} | {"K5": ""}
+    with pytest.raises(RuntimeError):
+        lines(df, guard=1)

@@ -4,7 +4,8 @@ A listing's title is parsed (``titles``); the model code or, where the title
 has none, the code that its name words stand for elsewhere in the corpus gives
 its line.  A word or pair of neighbouring words stands for a code as far as the
 titles of the same article that hold it bear that code; a candidate is accepted
-if the line's two name words are at most two edits away in the title.
+if the line's two name words are at most two edits away in the title.  That is repeated
+with the labels won until no listing gains one.
 
 Nulls: listings without key or title are left out; a missing article, code or
 variant is an empty string.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ PARSED = "key string, art string, code string, names string, dims array<string>,
 COUNTS = ["pack", "pieces", "players", "pages", "shoe"]
 #: A word must bear a code in this share of its titles to speak for it.
 SHARE = 0.15
+#: Rounds of labels after which a call fails.
+GUARD = 100
 
 
 def parse(listings: DataFrame, lexicon: Lexicon | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -81,16 +84,25 @@ def blocks(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("block", F.concat_ws("/", "art", "names", tokens)).drop("dims", "names")
 
 
-def lines(parsed: DataFrame) -> DataFrame:
-    """Fills code from the name words where it is empty; parsed needs key, art, code, words."""
+def tokens() -> Column:
+    """A listing's words and pairs of neighbouring words, each once."""
     pair = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.element_at("words", i + 1), F.element_at("words", i + 2)))
-    tokens = F.concat(F.array_distinct("words"), F.when(F.size("words") >= 2, F.array_distinct(pair)).otherwise(F.array().cast("array<string>")))
-    # A pair of words speaks for a line anywhere, a single word only within its article.
-    def flat(which: str, *keep: str) -> DataFrame:
-        t = parsed.where(which).select(*keep, F.hash("art").alias("art"), F.explode(tokens).alias("token"))
-        return t.withColumn("art", F.when(F.col("token").contains(" "), F.lit(0)).otherwise(F.col("art")))
+    return F.concat(F.array_distinct("words"), F.when(F.size("words") >= 2, F.array_distinct(pair)).otherwise(F.array().cast("array<string>")))
 
-    seen = cut(flat("code <> ''", "code").groupBy("art", "token", "code").agg(F.count(F.lit(1)).alias("m")))
+
+def flat(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, art, token: a pair of words speaks for a line anywhere, a single word only within its article."""
+    t = rows.select(*keep, F.hash("art").alias("art"), F.explode(tokens()).alias("token"))
+    return t.withColumn("art", F.when(F.col("token").contains(" "), F.lit(0)).otherwise(F.col("art")))
+
+
+def borne(rows: DataFrame) -> DataFrame:
+    """art, token, code, m: how many of the labelled rows with the token bear the code."""
+    return flat(rows, "code").groupBy("art", "token", "code").agg(F.count(F.lit(1)).alias("m"))
+
+
+def candidates(open_: DataFrame, seen: DataFrame) -> DataFrame:
+    """key, line: the line of every open row that the counts of borne() give one."""
     stands = seen.withColumn("n", F.sum("m").over(W.partitionBy("art", "token"))).where(F.col("m") >= SHARE * F.col("n"))
     stands = cut(stands.select("art", "token", F.col("code").alias("line"), (F.col("m") / F.col("n") * F.when(F.col("token").contains(" "), 3).otherwise(1)).alias("w"), "m", "n"))
     # The line's name: the frequent pair of the rarest words.
@@ -100,14 +112,34 @@ def lines(parsed: DataFrame) -> DataFrame:
     rarity = lambda i: F.coalesce(1 / F.col(f"df{i}"), F.lit(0.0))
     twos = twos.join(word(1), "w1", "left").join(word(2), "w2", "left").withColumn("rank", F.col("m") * (rarity(1) + rarity(2)))
     name = twos.groupBy("line").agg(F.max_by("token", F.struct("rank", "token")).alias("name"))
-    votes = flat("code = ''", "key").join(stands.select("art", "token", "line", "w"), ["art", "token"]).groupBy("key", "line").agg(F.sum("w").alias("score"))
-    votes = votes.join(name, "line").join(parsed.where("code = ''").select("key", "words"), "key")
+    votes = flat(open_, "key").join(stands.select("art", "token", "line", "w"), ["art", "token"]).groupBy("key", "line").agg(F.sum("w").alias("score"))
+    votes = votes.join(name, "line").join(open_.select("key", "words"), "key")
     off = lambda i: F.array_min(F.transform("words", lambda w: F.levenshtein(w, F.split("name", " ")[i])))
     votes = votes.withColumn("off", off(0) + off(1)).where("off <= 2")
-    best = votes.groupBy("key").agg(F.min(F.struct("off", (-F.col("score")).alias("s"), "line")).alias("b")).select("key", F.col("b.line").alias("line"))
-    # Only the open rows are joined.
-    filled = parsed.where("code = ''").join(best, "key", "left").withColumn("code", F.coalesce("line", F.lit(""))).drop("line")
-    return parsed.where("code <> ''").unionByName(filled)
+    return votes.groupBy("key").agg(F.min(F.struct("off", (-F.col("score")).alias("s"), "line")).alias("b")).select("key", F.col("b.line").alias("line"))
+
+
+def lines(parsed: DataFrame, guard: int = GUARD) -> DataFrame:
+    """Fills code from the name words where it is empty, round after round until no open row gains one.
+
+    parsed needs key (of one row each), art, code, words and should be written
+    (cut).  Labels that a round gives speak for their words in the next.  A
+    round reads only the rows still open; the counts of the labelled are added
+    up.  Every round but the last labels a row, so that the rounds end; should
+    they reach guard before, the call fails rather than leave labels out.
+    """
+    out = parsed.where("code <> ''")
+    open_ = parsed.where("code = ''")
+    seen = cut(borne(out))
+    for _ in range(guard):
+        best = cut(candidates(open_, seen))
+        if best.isEmpty():
+            return out.unionByName(open_)
+        gained = cut(open_.join(best, "key").withColumn("code", F.col("line")).drop("line"))
+        out = out.unionByName(gained.select(out.columns))
+        open_ = cut(open_.join(best, "key", "left_anti"))
+        seen = cut(seen.unionByName(borne(gained)).groupBy("art", "token", "code").agg(F.sum("m").alias("m")))
+    raise RuntimeError(f"labels still spread after {guard} rounds")
 
 
 def listings(modern: DataFrame | None, third: DataFrame | None, legacy: DataFrame | None = None) -> DataFrame:

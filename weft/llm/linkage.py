@@ -2,7 +2,7 @@
 
 Records and their attributes form a graph.  Product-line labels spread over it
 from records that state a model code to records that share rare name words
-with them (``spread``).  The
+with them, round after round until no record gains a label (``lines``).  The
 candidate graph joins records of both systems that have the same article and
 variant and share at least one rare attribute; an edge weighs what the rare
 attributes of its ends have in common.  Records with the same attributes are
@@ -44,24 +44,12 @@ def records(modern: DataFrame, third: DataFrame) -> DataFrame:
     return rows.groupBy("side", "key").agg(F.max_by("title", F.struct("updated_at", "row_no")).alias("title"), F.max("model").alias("model"), F.max_by("brand", F.struct("updated_at", "row_no")).alias("brand"), log(F.col("p")).alias("price"), log(F.col("w")).alias("weight"))
 
 
-def spread(parsed: DataFrame, rounds: int = 1) -> DataFrame:
-    """Labels (code) spread from record to record over shared rare words.
-
-    Each round's state is written.  One round finds all but about one in a
-    thousand of the pairs that more rounds find (16,889 of 16,904 on sf0.1),
-    as labels already travel over every word of a line at once.
-    """
-    for _ in range(rounds):
-        parsed = cut(lines(parsed))
-    return parsed
-
-
 def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, keep: float = KEEP, pull: float = PULL, least: float = LEAST) -> DataFrame:
     """asin, item_code, confidence of every matching pair."""
     found = records(modern, third)
     found = found.withColumn("key", F.concat_ws(":", "side", "key"))
     found = found.withColumn("brand", F.regexp_replace(F.lower("brand"), "[^a-z0-9]+", ""))
-    parsed = spread(blocks(cut(parse(found, lexicon, ("side", "brand", "price", "weight")))))
+    parsed = cut(lines(blocks(cut(parse(found, lexicon, ("side", "brand", "price", "weight"))))))
     attrs = F.when(F.col("code") != "", F.array(F.concat(F.lit("#"), "code"))).otherwise(F.array_sort(F.array_distinct("words")))
     rows = parsed.select("key", "side", "brand", "price", "weight", "block", attrs.alias("attrs"), F.when(F.col("code") != "", F.col("code")).otherwise(F.array_join(F.array_sort("words"), " ")).alias("line"))
     rows = rows.withColumn("node", F.xxhash64("block", F.array_join("attrs", " ")))

@@ -1,0 +1,11 @@
+from weft.llm import linkage
+
+
+def test_labelled_records_take_part_in_the_graph(spark):
+    """A mistyped code meets the right one by its name words; a far code of the same words and a record with a partner do not."""
+    rows = [("a", 1, 11, "ABC1243", ["#ABC1243", "fetili", "riven"]), ("b", 2, 12, "ABC1234", ["#ABC1234", "fetili", "riven"]), ("b", 3, 13, "XYZ9876", ["#XYZ9876", "fetili", "riven"])]
+    rows += [("a", 4, 14, "KLM1111", ["#KLM1111", "moka", "sudo"]), ("b", 4, 14, "KLM1111", ["#KLM1111", "moka", "sudo"]), ("b", 5, 5, "", ["moka", "tiro"])]
+    rows += [(s, 100 + i, 100 + i, "", [f"u{i}", f"v{i}"]) for i in range(20) for s in "ab"]
+    df = spark.createDataFrame([(s, n, k, c, "|mat", w, c or " ".join(w)) for s, n, k, c, w in rows], "side string, node long, label long, code string, block string, attrs array<string>, line string")
+    got = {(r["x"], r["y"]) for r in linkage.graph(df, 0.6, 0.3).collect()}
+    assert got == {(1, 2)}

@@ -7,7 +7,8 @@ candidate graph joins records of both systems that have the same article and
 variant and share at least one rare attribute; an edge weighs what the rare
 attributes of its ends have in common.  Records with the same attributes are
 one node of the graph.  Meta-blocking keeps the edges that are
-heavy for both of their ends.  An edge's similarity is then drawn towards the
+heavy for both of their ends.  Labelled records take part in it with their name
+words and their code; records of one label match by it alone.  An edge's similarity is then drawn towards the
 mean of its neighbours, the edges between the same two lines; the mean of such
 a group does not change in a round, so that the first round reaches the fixed
 point.  Agreement of brand, price and weight enters the confidence.
@@ -31,6 +32,10 @@ KEEP = 0.6
 PULL = 0.3
 #: Least confidence of a match.
 LEAST = 0.5
+#: Most edits between two codes one of which may be mistyped.
+TYPED = 2
+#: What an edge carries of both its ends.
+ENDS = ("line", "label", "code")
 
 
 def records(modern: DataFrame, third: DataFrame) -> DataFrame:
@@ -50,15 +55,18 @@ def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, k
     found = found.withColumn("key", F.concat_ws(":", "side", "key"))
     found = found.withColumn("brand", F.regexp_replace(F.lower("brand"), "[^a-z0-9]+", ""))
     parsed = cut(lines(blocks(cut(parse(found, lexicon, ("side", "brand", "price", "weight"))))))
-    attrs = F.when(F.col("code") != "", F.array(F.concat(F.lit("#"), "code"))).otherwise(F.array_sort(F.array_distinct("words")))
-    rows = parsed.select("key", "side", "brand", "price", "weight", "block", attrs.alias("attrs"), F.when(F.col("code") != "", F.col("code")).otherwise(F.array_join(F.array_sort("words"), " ")).alias("line"))
-    rows = rows.withColumn("node", F.xxhash64("block", F.array_join("attrs", " ")))
+    words, code = F.array_sort(F.array_distinct("words")), F.array(F.concat(F.lit("#"), "code"))
+    attrs = F.when(F.col("code") != "", F.concat(code, words)).otherwise(words)
+    rows = parsed.select("key", "side", "brand", "price", "weight", "block", "code", attrs.alias("attrs"), F.when(F.col("code") != "", F.col("code")).otherwise(F.array_join(F.array_sort("words"), " ")).alias("line"))
+    id_ = lambda x: F.xxhash64("block", F.array_join(x, " "))
+    rows = rows.withColumn("node", id_("attrs")).withColumn("label", F.when(F.col("code") != "", id_(code)).otherwise(F.col("node")))
     rows = rows.where("size(attrs) > 0")
     edges = graph(rows, keep, pull)
-    a = rows.where("side = 'a'").select("node", F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("brand", "price", "weight")])
-    b = rows.where("side = 'b'").select("node", F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("brand", "price", "weight")])
-    # Records of one node have all attributes in common; records of linked nodes as much as their edge says.
-    found = a.join(b, "node").withColumn("sim", F.lit(1.0)).drop("node")
+    a = rows.where("side = 'a'").select("node", "label", F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("brand", "price", "weight")])
+    b = rows.where("side = 'b'").select("node", "label", F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("brand", "price", "weight")])
+    # Records of one label, or without one of the same words, match; records of linked nodes as much as their edge says.
+    found = a.drop("node").join(b.drop("node"), "label").withColumn("sim", F.lit(1.0)).drop("label")
+    a, b = a.drop("label"), b.drop("label")
     apart = a.withColumnRenamed("node", "x").join(edges, "x").join(b.withColumnRenamed("node", "y"), "y").drop("x", "y")
     found = found.unionByName(apart)
     close = lambda c, scale: F.coalesce(F.exp(-F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) / scale), F.lit(0.5))
@@ -69,30 +77,34 @@ def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, k
 
 
 def graph(rows: DataFrame, keep: float, pull: float) -> DataFrame:
-    """Edges x (side a), y (side b), sim between different nodes; rows: side, node, block, attrs, line.
+    """Edges x (side a), y (side b), sim between nodes of different labels; rows: side, node, label, code, block, attrs, line.
 
-    Nodes are the distinct attribute sets of each block.  A node of one label
-    shares attributes with no other node of its block, so that only nodes of
-    several words take part.
+    Nodes are the distinct attribute sets of each block; a labelled node has its
+    code beside its words.  Edges between nodes of one label take part in the
+    pruning, so that a node with a partner of its label keeps no weak edge, and
+    are left out at the end.  Two codes more than TYPED edits apart are different
+    lines.
     """
-    nodes = rows.where("size(attrs) > 1 or not startswith(attrs[0], '#')").groupBy("side", "node").agg(F.first("block").alias("block"), F.first("attrs").alias("attrs"), F.first("line").alias("line"))
+    nodes = rows.groupBy("side", "node").agg(*[F.first(c).alias(c) for c in ("block", "attrs", "line", "label", "code")])
     nodes = cut(nodes)
-    flat = nodes.select("side", "node", "block", "line", F.explode("attrs").alias("attr"))
+    flat = nodes.select("side", "node", "block", "line", "label", "code", F.explode("attrs").alias("attr"))
     n = F.lit(float(max(1, nodes.count())))
     w = flat.groupBy("attr").agg(F.count(F.lit(1)).alias("df")).select("attr", (F.log(n / F.col("df")) + 1).alias("w"))
     flat = cut(flat.join(w, "attr"))
     # Candidates come by rare attributes; the others only add weight.
     rare = F.col("w") >= F.least(F.lit(1.0) + F.log(F.lit(1000.0)), F.log(n) * 0.4 + 1)
     total = flat.groupBy("side", "node").agg(F.sum("w").alias("total"))
-    a = flat.where("side = 'a'").select(F.col("node").alias("x"), "block", "attr", "w", rare.alias("rare"), F.col("line").alias("line_a"))
-    b = flat.where("side = 'b'").select(F.col("node").alias("y"), "block", "attr", F.col("line").alias("line_b"))
-    edges = a.join(b, ["block", "attr"]).where("x <> y").groupBy("x", "y", "line_a", "line_b").agg(F.sum("w").alias("shared"), F.max("rare").alias("rare")).where("rare")
+    a = flat.where("side = 'a'").select(F.col("node").alias("x"), "block", "attr", "w", rare.alias("rare"), *[F.col(c).alias(f"{c}_a") for c in ENDS])
+    b = flat.where("side = 'b'").select(F.col("node").alias("y"), "block", "attr", *[F.col(c).alias(f"{c}_b") for c in ENDS])
+    typed = (F.col("code_a") == "") | (F.col("code_b") == "") | (F.levenshtein("code_a", "code_b") <= TYPED)
+    edges = a.join(b, ["block", "attr"]).where("x <> y or code_a <> ''").where(typed).groupBy("x", "y", *[f"{c}_{s}" for c in ENDS for s in "ab"]).agg(F.sum("w").alias("shared"), F.max("rare").alias("rare")).where("rare")
     side = lambda s, c: total.where(F.col("side") == s).select(F.col("node").alias(c), F.col("total").alias(f"total_{c}"))
     edges = edges.join(side("a", "x"), "x").join(side("b", "y"), "y").withColumn("attr", F.col("shared") / F.least("total_x", "total_y"))
     edges = cut(edges)
     # Meta-blocking: reciprocal weighted node pruning.
     top = lambda c: edges.groupBy(c).agg(F.max("shared").alias(f"top_{c}"))
     edges = edges.join(top("x"), "x").join(top("y"), "y").where((F.col("shared") >= keep * F.col("top_x")) & (F.col("shared") >= keep * F.col("top_y")))
+    edges = edges.where("label_a <> label_b")
     near = edges.groupBy("line_a", "line_b").agg(F.avg("attr").alias("around"))
     return edges.join(near, ["line_a", "line_b"]).select("x", "y", ((1 - pull) * F.col("attr") + pull * F.col("around")).alias("sim"))
 

@@ -9,7 +9,7 @@ from weft.operators import profiling as P
 from weft.plans.query import query
 from weft.session import table
 
-TPCH = ["region", "nation", "customer", "supplier", "part", "orders", "events"]
+TPCH = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
 def unpivoted(t: str, columns: list[str]) -> str:

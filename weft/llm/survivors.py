@@ -20,7 +20,7 @@ Credible values
   counts: zero or more, no stand-in, and at most half an order of magnitude
       above the 90th percentile of the table.
   texts: not blank, and at least half as long as the group's longest.
-Stand-ins are the listed values and any price that FREQUENT of all rows share.
+Stand-ins are the listed values and any price that FREQUENT of all groups share.
 
 Other columns than those named are left out.  Nulls: rows without group are left out; a null time is the earliest, null
 source records count as 0.  A group without a credible value has none (null in
@@ -72,17 +72,21 @@ def usual_prices(rows: DataFrame) -> DataFrame:
 def marked(rows: DataFrame) -> DataFrame:
     """Adds credible_price and credible_count to the rows of a deduplicated table."""
     rows = rows.where(F.col("cluster_id").isNotNull()).select(*[c for c in rows.columns if c in NEEDED])
-    total = rows.agg(F.count("list_price").alias("n"), F.percentile_approx(F.when((F.col("inventory_count") >= 0) & ~F.col("inventory_count").isin(COUNT_STANDINS), F.col("inventory_count")), 0.9, 10000).alias("q")).first()
-    often = rows.where("list_price is not null").groupBy("list_price").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(6, FREQUENT * total["n"])).limit(int(1 / FREQUENT) + 1)
-    standins = sorted({*PRICE_STANDINS, *[r["list_price"] for r in often.collect()]})
+    total = rows.agg(F.percentile_approx(F.when((F.col("inventory_count") >= 0) & ~F.col("inventory_count").isin(COUNT_STANDINS), F.col("inventory_count")), 0.9, 10000).alias("q")).first()
+    # Every cluster counts once for a price, whatever the number of its rows.
+    priced = cut(rows.where("list_price is not null").select("cluster_id", "list_price").distinct())
+    clusters = priced.select("cluster_id").distinct().count()
+    often = priced.groupBy("list_price").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(6, FREQUENT * clusters)).select(F.col("list_price").alias("__amount"), F.lit(True).alias("__often"))
     price = F.col("list_price")
-    real = price.isNotNull() & (price != 0) & (price != -1) & ~F.abs(price).isin(standins)
+    rows = rows.withColumn("__amount", F.abs(price)).join(often, "__amount", "left")
+    standin = F.col("__amount").isin(PRICE_STANDINS) | F.coalesce("__often", F.lit(False))
+    real = price.isNotNull() & (price != 0) & (price != -1) & ~standin
     evidence = rows.where(real).select("cluster_id", F.coalesce(F.lower("product_category"), F.lit("")).alias("category"), F.abs(price).alias("v"))
     out = rows.join(usual_prices(evidence), "cluster_id", "left")
-    ok = (price > 0) & ~price.isin(standins) & (F.abs(F.log10(F.when(price > 0, price)) - F.col("usual")) <= F.log10(F.lit(FACTOR)))
+    ok = (price > 0) & ~standin & (F.abs(F.log10(F.when(price > 0, price)) - F.col("usual")) <= F.log10(F.lit(FACTOR)))
     count = F.col("inventory_count")
     fine = (count >= 0) & ~count.isin(COUNT_STANDINS) & (count <= F.lit(10**0.5 * max(1, total["q"] or 1)))
-    return out.withColumn("credible_price", F.coalesce(ok, F.lit(False))).withColumn("credible_count", F.coalesce(fine, F.lit(False))).drop("usual")
+    return out.withColumn("credible_price", F.coalesce(ok, F.lit(False))).withColumn("credible_count", F.coalesce(fine, F.lit(False))).drop("usual", "__amount", "__often")
 
 
 def choices(rows: DataFrame, fields: dict[str, Column]) -> DataFrame:

@@ -41,11 +41,14 @@ def audit_log(name: str, inputs: dict[str, DataFrame], output: DataFrame, mapped
     return {"cluster": name, "inputs": {n: {"rows": t.count(), "columns": t.columns, "mapped": mapped.get(n, [])} for n, t in inputs.items()}, "output_rows": output.count(), "output_columns": output.columns}
 
 
-def domain_json(exported: DataFrame) -> DataFrame:
-    """strong_id, block_no, weight, terms (JSON array of the block's first thousand terms in order): one row a block."""
+def domain_json(exported: DataFrame, chunk: int = 1000) -> DataFrame:
+    """strong_id, block_no, weight, chunk_no, terms (JSON array of chunk terms in order), term_count (of the block).
+
+    All terms of a block, in as many rows as that takes, numbered from 0.
+    """
     from pyspark.sql import Window as W
 
     k = F.row_number().over(W.partitionBy("strong_id", "block_no").orderBy("term"))
     n = exported.groupBy("strong_id", "block_no").agg(F.count(F.lit(1)).alias("term_count"))
-    t = exported.withColumn("k", k).where("k <= 1000").groupBy("strong_id", "block_no", "weight").agg(F.to_json(F.array_sort(F.collect_list("term"))).alias("terms"))
+    t = exported.withColumn("chunk_no", F.floor((k - 1) / chunk).cast("long")).groupBy("strong_id", "block_no", "weight", "chunk_no").agg(F.to_json(F.array_sort(F.collect_list("term"))).alias("terms"))
     return t.join(n, ["strong_id", "block_no"])

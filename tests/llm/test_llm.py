@@ -268,3 +268,14 @@ def test_labels_spread_until_none_is_gained(spark):
     assert got == {f"K{i}": "ABC1234" for i in range(5)} | {"K5": ""}
     with pytest.raises(RuntimeError):
         lines(df, guard=1)
+
+
+def test_listings_with_a_line_are_compared_by_name(spark):
+    # A2's code is mistyped; A4 has another line's code, far from A1's.
+    rows = [("A1", "ABC1234", ["acme", "fetili", "riven"]), ("A2", "ABC1243", ["acme", "fetili", "riven"]), ("A3", "ABC1234", []), ("A4", "XYZ9876", ["acme", "fetili", "riven"]), ("A5", "", ["acme", "moka", "sudo"])]
+    member = same_product.token_sets(spark.createDataFrame(rows, "key string, code string, words array<string>").withColumn("block", F.lit("|mat")))
+    sets = member.select("set_id", "node", "block", "tokens")
+    key = {r["set_id"]: r["key"] for r in member.collect()}
+    got = {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in same_product.same_name(same_product.similar_sets(sets, 0.5), sets).collect()}
+    assert got == {("A1", "A2")}
+    assert member.where("key in ('A1', 'A3')").select("node").distinct().count() == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.functions import infer, metrics, text
+from weft.functions import infer, text
 from weft.operators import domains as D
 from weft.operators import mapping as X
 from weft.operators import profiling as P
@@ -140,9 +140,7 @@ def id_set_operations(spark, d):
 
 @query()
 def bounded_similarity(spark, d):
-    """Levenshtein similarity with a lower bound, for spellings of a category that share their first two letters."""
-    from weft.operators.pairs import block_pairs
+    """All pairs of category spellings of a Levenshtein similarity of at least 0.8."""
+    from weft.operators.pairs import similar_strings
 
-    v = table(spark, d, "modern_products").select(F.lower(F.trim("category")).alias("v")).where("v <> ''").distinct()
-    p = block_pairs(v, "v", F.substring("v", 1, 2))
-    return p.withColumn("sim", F.round(metrics.levenshtein_similarity(F.col("a"), F.col("b"), 0.8), 6)).where("sim is not null")
+    return similar_strings(table(spark, d, "modern_products").select(F.lower(F.trim("category")).alias("v")), 0.8)

@@ -72,9 +72,9 @@ def text_similarity_parts(spark, d):
 
 @query()
 def difflib_brands(spark, d):
-    """Ratcliff-Obershelp ratio of brand spellings that share their first two letters."""
-    v = table(spark, d, "third_system_products").select(F.trim(F.lower("brand_name")).alias("v")).where("v <> ''").distinct()
-    return pairs.block_pairs(v, "v", F.substring("v", 1, 2)).select("a", "b", F.round(metrics.difflib_ratio("a", "b"), 6).alias("sim"))
+    """Ratcliff-Obershelp ratio of all pairs of brand spellings."""
+    v = table(spark, d, "third_system_products").select(F.trim(F.lower("brand_name")).alias("v")).where("v <> ''")
+    return pairs.every_pair(v).select("a", "b", F.round(metrics.difflib_ratio("a", "b"), 6).alias("sim"))
 
 
 @query(f"""with {PARTS}, s as (select a, b, levenshtein(a, b) as d from p) select count(*) filter (where d <= 3) as within_3, count(*) filter (where d <= 6) as within_6, max(d)::bigint as farthest from s""")

@@ -46,8 +46,9 @@ def text_number(text: Column) -> Column:
 
 
 def shape(text: Column) -> Column:
-    """Digits as 9 and letters as a, runs of them once, cut at 24 signs."""
-    return F.substring(F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "9"), r"\p{L}+", "a"), 1, 24)
+    """Digits as 9 and letters as a, runs of them once; of a shape over 24 signs its first 24 and a hash of the whole."""
+    whole = F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "9"), r"\p{L}+", "a")
+    return F.when(F.length(whole) > 24, F.concat(F.substring(whole, 1, 24), F.xxhash64(whole).cast("string"))).otherwise(whole)
 
 
 def unpivot(df: DataFrame, name: str, load: str, columns: list[str] | None = None, numbers: list[str] = ()) -> DataFrame:

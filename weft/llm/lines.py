@@ -1,14 +1,20 @@
-"""Listings with their product line and variant: the common ground of same-product grouping and linkage.
+"""Listings as sets of weighted tokens: the common ground of same-product grouping and linkage.
 
-A listing's title is parsed (``titles``); the model code or, where the title
-has none, the code that its name words stand for elsewhere in the corpus gives
-its line.  A word or pair of neighbouring words stands for a code as far as the
-titles of the same article that hold it bear that code; a candidate is accepted
-if the line's two name words are at most two edits away in the title.  That is repeated
-with the labels won until no listing gains one.
+``learn`` reads from the titles which phrases only advertise and which words
+belong together; ``parse`` splits every title (``titles``); ``blocks`` puts the
+stated variant (accessory, colours, sizes, numbers in base units) into one
+key.  What remains are words and model codes.
 
-Nulls: listings without key or title are left out; a missing article, code or
-variant is an empty string.
+What a token is worth is learned from the titles that state a model code: the
+share of the pairs of titles of one code that have the token in common, over
+the share that chance gives, as a squared logarithm (``statistics``).  Words that
+advertise come out at nothing, words of an article or a brand in between, words
+that name a product high.
+
+``complete`` adds to titles without a code the code that their words stand for
+elsewhere, as one more token, round after round until no title gains one.
+
+Nulls: listings without key or title are left out.
 """
 
 from __future__ import annotations
@@ -20,33 +26,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weft.llm.titles import SAME, Lexicon, Parser
+from weft.llm.titles import Lexicon, Parser
 from weft.session import cut
 
-PARSED = "key string, art string, code string, names string, dims array<string>, words array<string>"
+PARSED = "key string, variant string, code string, dims array<string>, words array<string>"
 #: Dimensions that count and are compared exactly.
-COUNTS = ["pack", "pieces", "players", "pages", "shoe"]
-#: A word must bear a code in this share of its titles to speak for it.
-SHARE = 0.15
-#: Rounds of labels after which a call fails.
+COUNTS = ("n", "shoe")
+#: Values further apart than this ratio are different variants.
+SAME = 1.045
+#: A learned phrase stands in this share of the titles at least, so that there are at most 1 / FREQUENT of them for each word of a title.
+FREQUENT = 0.002
+#: Share of a word's titles in which it follows the word that it belongs to.
+BOUND = 0.9
+#: A word speaks for a code that this share of its coded titles bears; least sum of the shares, and least lead over the next code.
+SPEAKS, ACCEPT, LEAD = 0.1, 0.5, 0.2
+#: What the share of a word one letter off counts.
+OFF = 0.8
+#: Rounds of completion after which a call fails.
 GUARD = 100
 
 
+def learn(titles: DataFrame, frequent: float = FREQUENT) -> Lexicon:
+    """The lexicon of a column title: every row counts.
+
+    Collected are phrases in at least frequent of all rows only, a bounded number.
+    """
+    low = F.lower("title")
+    phrase = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9'])(?:for|small|medium|large)[^a-z0-9]+[a-z]+|[a-z]+ flavou?r(?![a-z])"), F.lit(0))
+    n = titles.count()
+    least = max(3.0, frequent * n)
+    seen = titles.select(F.explode(phrase).alias("p")).select(F.regexp_replace("p", "[^a-z]+", " ").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(least if n else 1.0) / 4).collect()
+    pairs = {tuple(r["p"].split(" ")): r["n"] for r in seen if r["p"].count(" ") == 1}
+    stock = frozenset(b for (a, b), k in pairs.items() if a == "for" and k >= least)
+    flavours = frozenset(a for (a, b) in pairs if b in ("flavour", "flavor"))
+    close = {p: k for p, k in pairs.items() if p[0] in ("small", "medium", "large") and k >= least}
+    compounds = frozenset()
+    if close:
+        words = "|".join(sorted({b for _, b in close}))
+        every = titles.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![a-z])(?:{words})(?![a-z])"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
+        total = {r["w"]: r["n"] for r in every}
+        compounds = frozenset(p for p, k in close.items() if k >= BOUND * total.get(p[1], k))
+    return Lexicon(compounds=compounds, stock=stock, flavours=flavours)
+
+
 def parse(listings: DataFrame, lexicon: Lexicon | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """listings: key, title, model (a code from elsewhere, or null) -> PARSED and the columns keep, which pass through untouched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(lexicon)
-        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] * 2
         for b in batches:
-            out: list[list] = [[] for _ in kinds]
+            variants, codes, dims, words = [], [], [], []
             for title, model in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                p = parser.parse(title)
-                code = p["codes"][0] if p["codes"] else (model or "").replace("-", "").replace(" ", "").upper()
-                for column, x in zip(out, (f"{p['acc']}|{p['article']}", code, " ".join(p["names"]), [f"{d}={v:.6g}" for d, v in p["dims"]], p["words"])):
-                    column.append(x)
-            more = [b.column(3 + i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)], *more], names=["key", "art", "code", "names", "dims", "words", *keep])
+                acc, code, names, d, w = parser.parse(title)
+                if not code and model:
+                    code = model.lower().replace("-", "").replace(" ", "")
+                    if code not in w:
+                        w.append(code)
+                variants.append(f"{acc}/{' '.join(names)}" if acc or names else "")
+                codes.append(code)
+                dims.append(d)
+                words.append(w)
+            texts = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(variants, pa.string()), pa.array(codes, pa.string()), pa.array(dims, texts), pa.array(words, texts), *[b.column(3 + i) for i in range(len(keep))]], names=["key", "variant", "code", "dims", "words", *keep])
 
     of = dict(listings.dtypes)
     return listings.select("key", "title", "model", *keep).mapInArrow(run, ", ".join([PARSED, *[f"{c} {of[c]}" for c in keep]]))
@@ -58,7 +99,7 @@ def cuts(parsed: DataFrame) -> dict[str, list[float]]:
     There are at most 53 gaps to a decade, so the result is small whatever the
     number of rows.
     """
-    v = parsed.select(F.explode("dims").alias("x")).select(F.split("x", "=")[0].alias("d"), F.split("x", "=")[1].cast("double").alias("v")).where(~F.col("d").isin(COUNTS) & (F.col("v") > 0))
+    v = parsed.select(F.explode("dims").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).select(F.split("x", "=")[0].alias("d"), F.split("x", "=")[1].cast("double").alias("v")).where(~F.col("d").isin(*COUNTS) & (F.col("v") > 0))
     v = v.groupBy("d", F.expr("round(v / pow(10, floor(log10(v)) - 2)) * pow(10, floor(log10(v)) - 2)").alias("v")).count()
     gaps = v.withColumn("p", F.lag("v").over(W.partitionBy("d").orderBy("v"))).where(F.col("v") > F.col("p") * SAME)
     out: dict[str, list[float]] = {}
@@ -68,78 +109,126 @@ def cuts(parsed: DataFrame) -> dict[str, list[float]]:
 
 
 def blocks(parsed: DataFrame) -> DataFrame:
-    """Adds block: article and stated variant, equal for listings of one article and variant."""
+    """variant and dims become block (a hash), equal for listings of one accessory kind and variant."""
     at = cuts(parsed)
 
-    def token(x):
-        t = x
+    def token(x: Column) -> Column:
         name, value = F.split(x, "=")[0], F.split(x, "=")[1].cast("double")
+        out = F.when(name.isin(*COUNTS), x)
         for d, cs in sorted(at.items()):
-            t = F.when(name == d, F.concat(F.lit(d + "~"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]), lambda c: c <= value)).cast("string"))).otherwise(t)
-        for d in {"length", "volume", "mass", "power", "voltage", "time", "resolution", "load"} - set(at):
-            t = F.when(name == d, F.lit(d + "~0")).otherwise(t)
-        return t
+            out = out.when(name == d, F.concat(name, F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]), lambda c: c <= value)).cast("string")))
+        return out.otherwise(F.concat(name, F.lit("0")))
 
-    tokens = F.array_join(F.array_sort(F.array_distinct(F.transform("dims", token))), " ")
-    return parsed.withColumn("block", F.concat_ws("/", "art", "names", tokens)).drop("dims", "names")
+    block = F.when((F.col("variant") == "") & (F.size("dims") == 0), F.lit(0)).otherwise(F.xxhash64("variant", F.array_join(F.array_sort(F.array_distinct(F.transform("dims", token))), " ")))
+    return parsed.withColumn("block", block).drop("variant", "dims")
 
 
-def tokens() -> Column:
-    """A listing's words and pairs of neighbouring words, each once."""
-    pair = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.element_at("words", i + 1), F.element_at("words", i + 2)))
-    return F.concat(F.array_distinct("words"), F.when(F.size("words") >= 2, F.array_distinct(pair)).otherwise(F.array().cast("array<string>")))
+def borne(rows: DataFrame) -> DataFrame:
+    """token, code, m: how many of the rows with the token state the code ('' for none)."""
+    return rows.select("code", F.explode("words").alias("token")).groupBy("token", "code").agg(F.count(F.lit(1)).alias("m"))
 
 
-def flat(rows: DataFrame, *keep: str) -> DataFrame:
-    """keep, art, token: a pair of words speaks for a line anywhere, a single word only within its article."""
-    t = rows.select(*keep, F.hash("art").alias("art"), F.explode(tokens()).alias("token"))
-    return t.withColumn("art", F.when(F.col("token").contains(" "), F.lit(0)).otherwise(F.col("art")))
+def statistics(seen: DataFrame, rows: int) -> DataFrame:
+    """token, n (rows with a code that have it), w (its worth) from the counts of borne()."""
+    own = seen.where("token = code").select("code", F.col("m").alias("of"))
+    s = seen.join(own, "code", "left")
+    coded = lambda x: F.coalesce(F.sum(F.when(F.col("code") != "", x)), F.lit(0))
+    m = F.col("m")
+    s = s.groupBy("token").agg(F.sum("m").alias("df"), coded(m).alias("n"), coded(m * (m - 1)).alias("together"), coded(m * (F.col("of") - 1)).alias("chances"))
+    # Without a chance to be seen twice a token is as loyal as not.
+    loyal = (F.col("together") + 0.5) / (F.col("chances") + 1)
+    lift = F.greatest(F.lit(0.0), F.log(loyal * F.lit(float(max(1, rows))) / F.col("df")))
+    return s.select("token", "n", (lift * lift).cast("float").alias("w"))
 
 
-def borne(rows: DataFrame) -> DataFrame:
-    """art, token, code, m: how many of the labelled rows with the token bear the code."""
-    return flat(rows, "code").groupBy("art", "token", "code").agg(F.count(F.lit(1)).alias("m"))
-
-
-def candidates(open_: DataFrame, seen: DataFrame) -> DataFrame:
-    """key, line: the line of every open row that the counts of borne() give one."""
-    stands = seen.withColumn("n", F.sum("m").over(W.partitionBy("art", "token"))).where(F.col("m") >= SHARE * F.col("n"))
-    stands = cut(stands.select("art", "token", F.col("code").alias("line"), (F.col("m") / F.col("n") * F.when(F.col("token").contains(" "), 3).otherwise(1)).alias("w"), "m", "n"))
-    # The line's name: the frequent pair of the rarest words.
-    df = seen.where("not contains(token, ' ')").groupBy("token").agg(F.sum("m").alias("df"))
-    word = lambda i: df.select(F.col("token").alias(f"w{i}"), F.col("df").alias(f"df{i}"))
-    twos = stands.where("contains(token, ' ') and w >= 1.5").select("line", "token", "m", F.split("token", " ")[0].alias("w1"), F.split("token", " ")[1].alias("w2"))
-    rarity = lambda i: F.coalesce(1 / F.col(f"df{i}"), F.lit(0.0))
-    twos = twos.join(word(1), "w1", "left").join(word(2), "w2", "left").withColumn("rank", F.col("m") * (rarity(1) + rarity(2)))
-    name = twos.groupBy("line").agg(F.max_by("token", F.struct("rank", "token")).alias("name"))
-    votes = flat(open_, "key").join(stands.select("art", "token", "line", "w"), ["art", "token"]).groupBy("key", "line").agg(F.sum("w").alias("score"))
-    votes = votes.join(name, "line").join(open_.select("key", "words"), "key")
-    off = lambda i: F.array_min(F.transform("words", lambda w: F.levenshtein(w, F.split("name", " ")[i])))
-    votes = votes.withColumn("off", off(0) + off(1)).where("off <= 2")
-    return votes.groupBy("key").agg(F.min(F.struct("off", (-F.col("score")).alias("s"), "line")).alias("b")).select("key", F.col("b.line").alias("line"))
-
-
-def lines(parsed: DataFrame, guard: int = GUARD) -> DataFrame:
-    """Fills code from the name words where it is empty, round after round until no open row gains one.
-
-    parsed needs key (of one row each), art, code, words and should be written
-    (cut).  Labels that a round gives speak for their words in the next.  A
-    round reads only the rows still open; the counts of the labelled are added
-    up.  Every round but the last labels a row, so that the rounds end; should
-    they reach guard before, the call fails rather than leave labels out.
+def misspelt(unknown: DataFrame, stands: DataFrame) -> DataFrame:
+    """token, code, share for words that no coded title has: what the words one letter off (one swap counts) stand for.
+
+    Both sides are joined on what is left of a word without one of its letters,
+    which finds every such pair.
+    """
+    less = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.lit(1 << 20))))))
+    word = lambda c: F.col(c).rlike("^[a-z]{4,}$")
+    a = unknown.where(word("token")).select("token", F.explode(less("token")).alias("d"))
+    b = stands.where(word("token")).select(F.col("token").alias("meant")).distinct().select("meant", F.explode(less("meant")).alias("d"))
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    edits = F.levenshtein("token", "meant", 2)
+    near = a.join(b, "d").select("token", "meant").distinct().where((edits == 1) | ((edits == 2) & (F.length("token") == F.length("meant")) & (letters("token") == letters("meant"))))
+    return near.join(stands.withColumnRenamed("token", "meant"), "meant").groupBy("token", "code").agg((F.max("share") * OFF).alias("share"))
+
+
+def speaking(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, code, share of every code a token speaks for; token, n of all tokens that coded rows have)."""
+    coded = seen.where("code <> '' and token <> code")
+    n = coded.groupBy("token").agg(F.sum("m").alias("n"))
+    return coded.join(n, "token").where(F.col("m") >= SPEAKS * F.col("n")).select("token", "code", (F.col("m") / F.col("n")).alias("share")), n
+
+
+def votes(open_: DataFrame, seen: DataFrame) -> DataFrame:
+    """id, code of the open rows (id, words) that the counts of borne() give one."""
+    stands, n = speaking(seen)
+    stands = cut(stands)
+    flat = open_.select("id", F.explode("words").alias("token"))
+    unknown = flat.select("token").distinct().join(n, "token", "left_anti")
+    every = stands.unionByName(misspelt(unknown, stands))
+    score = flat.join(every, "token").groupBy("id", "code").agg(F.sum("share").alias("s"))
+    # A row has at most 1 / SPEAKS codes for each of its words.
+    best = score.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "code")), asc=False), 1, 2).alias("b"))
+    return best.where((F.col("b")[0]["s"] >= ACCEPT) & (F.col("b")[0]["s"] - F.coalesce(F.get("b", F.lit(1))["s"], F.lit(0.0)) >= LEAD)).select("id", F.col("b")[0]["code"].alias("code"))
+
+
+def complete(rows: DataFrame, seen: DataFrame, guard: int = GUARD) -> DataFrame:
+    """id, code of every row without a code that gains one.
+
+    rows: id, code, words; seen: their borne() counts, written.  What a round
+    gives speaks in the next, for the rows still open.  Every round but the last
+    gives a row a code, so that the rounds end; should they reach guard before,
+    the call fails rather than leave codes out.
     """
-    out = parsed.where("code <> ''")
-    open_ = parsed.where("code = ''")
-    seen = cut(borne(out))
+    open_ = rows.where("code = ''").select("id", "words")
+    out = None
     for _ in range(guard):
-        best = cut(candidates(open_, seen))
+        best = cut(votes(open_, seen))
         if best.isEmpty():
-            return out.unionByName(open_)
-        gained = cut(open_.join(best, "key").withColumn("code", F.col("line")).drop("line"))
-        out = out.unionByName(gained.select(out.columns))
-        open_ = cut(open_.join(best, "key", "left_anti"))
-        seen = cut(seen.unionByName(borne(gained)).groupBy("art", "token", "code").agg(F.sum("m").alias("m")))
-    raise RuntimeError(f"labels still spread after {guard} rounds")
+            return best if out is None else out
+        out = best if out is None else out.unionByName(best)
+        gained = open_.join(best, "id")
+        open_ = cut(open_.join(best, "id", "left_anti"))
+        # Of the counts, only those of the words of open rows, or one letter off, matter from here on.
+        more = borne(gained.select("code", "words"))
+        seen = cut(seen.where("code <> ''").unionByName(more).groupBy("token", "code").agg(F.sum("m").alias("m")))
+    raise RuntimeError(f"titles still gain codes after {guard} rounds")
+
+
+def sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: the columns of rows but words, with set_id; sets: set_id, block, code, t (w and h of its tokens, the rarest first), total), both written.
+
+    rows: key, block, code, words and any others.  Listings of equal block, code
+    and tokens are one set; listings without a word are in none (set_id null).
+    """
+    rows = rows.withColumn("id", F.xxhash64("key"))
+    seen = cut(borne(rows))
+    worth = cut(statistics(seen, rows.count()))
+    found = complete(rows, seen)
+    words = F.array_sort(F.when(F.col("line").isNull(), F.col("words")).otherwise(F.array_union("words", F.array("line"))))
+    member = rows.join(found.withColumnRenamed("code", "line"), "id", "left").withColumn("tokens", words)
+    member = member.withColumn("set_id", F.when(F.size("tokens") > 0, F.xxhash64("block", "code", F.array_join("tokens", " "))))
+    member = cut(member.drop("words", "id", "line"))
+    once = member.where("set_id is not null").groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("block", "code", "tokens")])
+    flat = once.select("set_id", "block", "code", F.explode("tokens").alias("token")).join(worth.select("token", "w"), "token").where("w > 0")
+    t = flat.groupBy("set_id", "block", "code").agg(F.sort_array(F.collect_list(F.struct("w", F.xxhash64("token").alias("h"))), asc=False).alias("t"))
+    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"])
+    return member.drop("tokens"), cut(t.withColumn("total", total))
+
+
+def rests(t: str, total: str) -> Column:
+    """For every token of a set, the weight of itself and all that follow it."""
+    return F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.col(total) - F.aggregate(F.slice(t, F.lit(1), i), F.lit(0.0), lambda a, x: a + x["w"]))
+
+
+def overlap(a: str, b: str) -> Column:
+    """Weight of the tokens of a that b has too."""
+    return F.aggregate(F.filter(a, lambda x: F.array_contains(F.col(f"{b}.h"), x["h"])), F.lit(0.0), lambda s, x: s + x["w"])
 
 
 def listings(modern: DataFrame | None, third: DataFrame | None, legacy: DataFrame | None = None) -> DataFrame:
@@ -159,9 +248,3 @@ def listings(modern: DataFrame | None, third: DataFrame | None, legacy: DataFram
     # Whole rows of one key are alike: equal titles are merged before the rest.
     rows = rows.where(F.col("key").isNotNull() & (F.trim("key") != "") & F.col("title").isNotNull() & (F.trim("title") != ""))
     return rows.groupBy("key").agg(F.max_by("title", F.struct("updated_at", "row_no")).alias("title"), F.max("model").alias("model"))
-
-
-def products(found: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """Listings (key, title, model) with art, code, words, block; written once, as it is read several times."""
-    parsed = cut(parse(found, lexicon))
-    return lines(blocks(parsed))

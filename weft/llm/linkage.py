@@ -1,17 +1,21 @@
 """Problem 3: matching records of two systems without a shared key.
 
-Records and their attributes form a graph.  Product-line labels spread over it
-from records that state a model code to records that share rare name words
-with them, round after round until no record gains a label (``lines``).  The
-candidate graph joins records of both systems that have the same article and
-variant and share at least one rare attribute; an edge weighs what the rare
-attributes of its ends have in common.  Records with the same attributes are
-one node of the graph.  Meta-blocking keeps the edges that are
-heavy for both of their ends.  Labelled records take part in it with their name
-words and their code; records of one label match by it alone.  An edge's similarity is then drawn towards the
-mean of its neighbours, the edges between the same two lines; the mean of such
-a group does not change in a round, so that the first round reaches the fixed
-point.  Agreement of brand, price and weight enters the confidence.
+The records of both systems are nodes of a graph, with the weighted tokens of
+``lines`` (words, stated and completed model codes) as attributes; records of
+equal variant and attributes are one node.  The candidate graph joins nodes of
+the two systems that have the same variant and share a rare attribute, one that
+weighs at least RARE of the heaviest of its record: rare attributes are chosen
+before the join.  An edge weighs what the common attributes weigh, over the
+weight of the lighter end.
+
+Meta-blocking keeps the edges that are nearly as heavy as the heaviest edge of
+either end.  Then similarity spreads: edges are neighbours if their ends have
+the same rarest attributes, or the same second rarest, as other variants of one
+product line do; every edge is drawn towards the means of its two groups of
+neighbours, round after round until no edge moves by more than STILL.  A round
+shrinks the moves by PULL, so that the rounds end.
+
+Agreement of brand, price and weight enters the confidence.
 
 Nulls: records without key or title have no attributes and match nothing; a
 missing brand, price or weight neither helps nor harms.
@@ -22,91 +26,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.lines import blocks, lines, parse
+from weft.llm.lines import blocks, learn, overlap, parse, sets
 from weft.llm.titles import Lexicon
 from weft.session import cut, table
 
+#: Share of a record's heaviest attribute that a rare one weighs at least.
+RARE = 0.5
 #: Share of the heaviest edge of a node that an edge must weigh to be kept.
 KEEP = 0.6
-#: Part of a similarity that comes from the neighbouring edges.
-PULL = 0.3
-#: Least confidence of a match.
-LEAST = 0.5
+#: Part of a similarity that comes from the neighbouring edges, and the move at which the rounds end.
+PULL, STILL = 0.3, 0.001
+#: Rounds after which a call fails.
+GUARD = 50
+#: Least similarity, and least confidence, of a match.
+LEAST, SURE = 0.4, 0.4
 #: Most edits between two codes one of which may be mistyped.
 TYPED = 2
-#: What an edge carries of both its ends.
-ENDS = ("line", "label", "code")
 
 
 def records(modern: DataFrame, third: DataFrame) -> DataFrame:
-    """Both systems' listings: side, key, title, model, brand, price, weight (means of logarithms over the listing's rows)."""
+    """Both systems' listings: key (with the side before it), title, model, side, brand, price, weight (means of logarithms over the listing's rows)."""
     number = lambda c: F.try_to_number(F.regexp_extract(F.col(c), r"^\s*\$?\s*([0-9]{1,9}\.[0-9]{1,2})(?![0-9])", 1), F.lit("999999999.99")).cast("double")
-    log = lambda c: F.avg(F.when(c > 0, F.log(c)))
+    log = lambda c: F.avg(F.when(c > 0, F.log(c))).cast("float")
     code = F.regexp_extract("specifications", r'"(?:mpn|part_number|model)": ?"([A-Za-z]{2,4}[- ]?[0-9]{3,5})"', 1)
     a = modern.select(F.lit("a").alias("side"), F.col("asin").alias("key"), "title", "updated_at", "row_no", F.when(code != "", code).alias("model"), F.col("brand"), F.col("current_price").alias("p"), F.col("weight_kg").alias("w"))
     b = third.select(F.lit("b").alias("side"), F.col("item_code").alias("key"), F.col("item_name").alias("title"), "updated_at", "row_no", F.lit(None).cast("string").alias("model"), F.col("brand_name").alias("brand"), number("retail_price").alias("p"), (F.expr("try_cast(item_weight as double)") * 0.45359237).alias("w"))
     rows = a.unionByName(b).where(F.col("key").isNotNull() & (F.trim("key") != "") & F.col("title").isNotNull() & (F.trim("title") != ""))
-    return rows.groupBy("side", "key").agg(F.max_by("title", F.struct("updated_at", "row_no")).alias("title"), F.max("model").alias("model"), F.max_by("brand", F.struct("updated_at", "row_no")).alias("brand"), log(F.col("p")).alias("price"), log(F.col("w")).alias("weight"))
+    last = F.max_by(F.struct("title", "brand"), F.struct("updated_at", "row_no")).alias("x")
+    rows = rows.groupBy("side", "key").agg(last, F.max("model").alias("model"), log(F.col("p")).alias("price"), log(F.col("w")).alias("weight"))
+    return rows.select(F.concat_ws(":", "side", "key").alias("key"), "x.title", "model", "side", F.regexp_replace(F.lower("x.brand"), "[^a-z0-9]+", "").alias("brand"), "price", "weight")
 
 
-def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, keep: float = KEEP, pull: float = PULL, least: float = LEAST) -> DataFrame:
-    """asin, item_code, confidence of every matching pair."""
-    found = records(modern, third)
-    found = found.withColumn("key", F.concat_ws(":", "side", "key"))
-    found = found.withColumn("brand", F.regexp_replace(F.lower("brand"), "[^a-z0-9]+", ""))
-    parsed = cut(lines(blocks(cut(parse(found, lexicon, ("side", "brand", "price", "weight"))))))
-    words, code = F.array_sort(F.array_distinct("words")), F.array(F.concat(F.lit("#"), "code"))
-    attrs = F.when(F.col("code") != "", F.concat(code, words)).otherwise(words)
-    rows = parsed.select("key", "side", "brand", "price", "weight", "block", "code", attrs.alias("attrs"), F.when(F.col("code") != "", F.col("code")).otherwise(F.array_join(F.array_sort("words"), " ")).alias("line"))
-    id_ = lambda x: F.xxhash64("block", F.array_join(x, " "))
-    rows = rows.withColumn("node", id_("attrs")).withColumn("label", F.when(F.col("code") != "", id_(code)).otherwise(F.col("node")))
-    rows = rows.where("size(attrs) > 0")
-    edges = graph(rows, keep, pull)
-    a = rows.where("side = 'a'").select("node", "label", F.col("key").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("brand", "price", "weight")])
-    b = rows.where("side = 'b'").select("node", "label", F.col("key").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("brand", "price", "weight")])
-    # Records of one label, or without one of the same words, match; records of linked nodes as much as their edge says.
-    found = a.drop("node").join(b.drop("node"), "label").withColumn("sim", F.lit(1.0)).drop("label")
-    a, b = a.drop("label"), b.drop("label")
-    apart = a.withColumnRenamed("node", "x").join(edges, "x").join(b.withColumnRenamed("node", "y"), "y").drop("x", "y")
-    found = found.unionByName(apart)
-    close = lambda c, scale: F.coalesce(F.exp(-F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) / scale), F.lit(0.5))
-    brand = F.when(F.col("brand_a").isNull() | F.col("brand_b").isNull(), 0.5).when((F.levenshtein("brand_a", "brand_b") <= 2) | F.contains("brand_a", "brand_b") | F.contains("brand_b", "brand_a"), 1.0).otherwise(0.3)
-    conf = F.round(0.7 * F.col("sim") + 0.1 * close("price", 0.5) + 0.1 * close("weight", 0.3) + 0.1 * brand, 4)
-    strip = lambda c: F.substring(c, 3, 1 << 20)
-    return found.select(strip("a").alias("asin"), strip("b").alias("item_code"), conf.alias("confidence")).where(F.col("confidence") >= least)
-
+def graph(member: DataFrame, found: DataFrame, keep: float = KEEP) -> DataFrame:
+    """Edges x (set of side a), y (set of side b), attr (similarity of their attributes), k1, k2 (groups of neighbours), after meta-blocking.
 
-def graph(rows: DataFrame, keep: float, pull: float) -> DataFrame:
-    """Edges x (side a), y (side b), sim between nodes of different labels; rows: side, node, label, code, block, attrs, line.
-
-    Nodes are the distinct attribute sets of each block; a labelled node has its
-    code beside its words.  Edges between nodes of one label take part in the
-    pruning, so that a node with a partner of its label keeps no weak edge, and
-    are left out at the end.  Two codes more than TYPED edits apart are different
-    lines.
+    member: set_id, side; found: set_id, block, code, t, total (``lines.sets``).
     """
-    nodes = rows.groupBy("side", "node").agg(*[F.first(c).alias(c) for c in ("block", "attrs", "line", "label", "code")])
-    nodes = cut(nodes)
-    flat = nodes.select("side", "node", "block", "line", "label", "code", F.explode("attrs").alias("attr"))
-    n = F.lit(float(max(1, nodes.count())))
-    w = flat.groupBy("attr").agg(F.count(F.lit(1)).alias("df")).select("attr", (F.log(n / F.col("df")) + 1).alias("w"))
-    flat = cut(flat.join(w, "attr"))
-    # Candidates come by rare attributes; the others only add weight.
-    rare = F.col("w") >= F.least(F.lit(1.0) + F.log(F.lit(1000.0)), F.log(n) * 0.4 + 1)
-    total = flat.groupBy("side", "node").agg(F.sum("w").alias("total"))
-    a = flat.where("side = 'a'").select(F.col("node").alias("x"), "block", "attr", "w", rare.alias("rare"), *[F.col(c).alias(f"{c}_a") for c in ENDS])
-    b = flat.where("side = 'b'").select(F.col("node").alias("y"), "block", "attr", *[F.col(c).alias(f"{c}_b") for c in ENDS])
-    typed = (F.col("code_a") == "") | (F.col("code_b") == "") | (F.levenshtein("code_a", "code_b") <= TYPED)
-    edges = a.join(b, ["block", "attr"]).where("x <> y or code_a <> ''").where(typed).groupBy("x", "y", *[f"{c}_{s}" for c in ENDS for s in "ab"]).agg(F.sum("w").alias("shared"), F.max("rare").alias("rare")).where("rare")
-    side = lambda s, c: total.where(F.col("side") == s).select(F.col("node").alias(c), F.col("total").alias(f"total_{c}"))
-    edges = edges.join(side("a", "x"), "x").join(side("b", "y"), "y").withColumn("attr", F.col("shared") / F.least("total_x", "total_y"))
-    edges = cut(edges)
+    sides = member.where("set_id is not null").select("set_id", "side").distinct()
+    rare = found.join(sides, "set_id").select("side", "set_id", "block", F.explode(F.transform(F.filter("t", lambda x: x["w"] >= RARE * F.col("t")[0]["w"]), lambda x: x["h"])).alias("h"))
+    side = lambda s, c: rare.where(F.col("side") == s).select("block", "h", F.col("set_id").alias(c))
+    pairs = side("a", "x").join(side("b", "y"), ["block", "h"]).select("x", "y").distinct()
+    end = lambda c: found.select(F.col("set_id").alias(c), F.col("t").alias(f"t{c}"), F.col("total").alias(f"w{c}"), F.col("code").alias(f"c{c}"))
+    both = pairs.join(end("x"), "x").join(end("y"), "y")
+    typed = (F.col("cx") == "") | (F.col("cy") == "") | (F.levenshtein("cx", "cy") <= TYPED)
+    group = lambda i: F.xxhash64(F.coalesce(F.get("tx", F.lit(i))["h"], F.lit(0)), F.coalesce(F.get("ty", F.lit(i))["h"], F.lit(0)), F.lit(i))
+    edges = cut(both.where(typed).select("x", "y", (overlap("tx", "ty") / F.least("wx", "wy")).alias("attr"), group(0).alias("k1"), group(1).alias("k2")))
     # Meta-blocking: reciprocal weighted node pruning.
-    top = lambda c: edges.groupBy(c).agg(F.max("shared").alias(f"top_{c}"))
-    edges = edges.join(top("x"), "x").join(top("y"), "y").where((F.col("shared") >= keep * F.col("top_x")) & (F.col("shared") >= keep * F.col("top_y")))
-    edges = edges.where("label_a <> label_b")
-    near = edges.groupBy("line_a", "line_b").agg(F.avg("attr").alias("around"))
-    return edges.join(near, ["line_a", "line_b"]).select("x", "y", ((1 - pull) * F.col("attr") + pull * F.col("around")).alias("sim"))
+    top = lambda c: edges.groupBy(c).agg(F.max("attr").alias(f"top_{c}"))
+    return cut(edges.join(top("x"), "x").join(top("y"), "y").where((F.col("attr") >= keep * F.col("top_x")) & (F.col("attr") >= keep * F.col("top_y"))).drop("top_x", "top_y"))
+
+
+def spread(edges: DataFrame, pull: float = PULL, still: float = STILL, guard: int = GUARD) -> DataFrame:
+    """graph() edges -> x, y, sim at the fixed point of the propagation; edges with the same groups and attr move alike and are one row of the rounds."""
+    cells = cut(edges.groupBy("k1", "k2", F.round("attr", 6).alias("attr")).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("sim", F.col("attr")))
+    for _ in range(guard):
+        mean = lambda k: cells.groupBy(k).agg((F.sum(F.col("n") * F.col("sim")) / F.sum("n")).alias(f"mean_{k}"))
+        now = cells.join(mean("k1"), "k1").join(mean("k2"), "k2")
+        after = (1 - pull) * F.col("attr") + pull / 2 * (F.col("mean_k1") + F.col("mean_k2"))
+        now = cut(now.select("k1", "k2", "attr", "n", after.alias("sim"), F.abs(after - F.col("sim")).alias("move")))
+        most = now.agg(F.max("move").alias("m")).first()["m"]
+        cells = now.drop("move")
+        if most is None or most <= still:
+            return edges.withColumn("attr", F.round("attr", 6)).join(cells.select("k1", "k2", "attr", "sim"), ["k1", "k2", "attr"]).select("x", "y", "sim")
+    raise RuntimeError(f"similarities still move after {guard} rounds")
+
+
+def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, least: float = LEAST, sure: float = SURE) -> DataFrame:
+    """asin, item_code, confidence of every matching pair."""
+    if lexicon is None:
+        lexicon = learn(modern.select("title").unionByName(third.select(F.col("item_name").alias("title"))))
+    member, found = sets(cut(blocks(cut(parse(records(modern, third), lexicon, ("side", "brand", "price", "weight"))))))
+    edges = spread(graph(member, found)).where(F.col("sim") >= least)
+    end = lambda s, c: member.where(F.col("side") == s).select(F.col("set_id").alias(c), F.substring("key", 3, 1 << 20).alias(f"key_{s}"), *[F.col(v).alias(f"{v}_{s}") for v in ("brand", "price", "weight")])
+    both = end("a", "x").join(edges, "x").join(end("b", "y"), "y")
+    close = lambda c, scale: F.coalesce(F.exp(-F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) / scale), F.lit(0.5))
+    brand = F.when(F.col("brand_a").isNull() | F.col("brand_b").isNull(), 0.5).when((F.levenshtein("brand_a", "brand_b") <= 2) | F.contains("brand_a", "brand_b") | F.contains("brand_b", "brand_a"), 1.0).otherwise(0.3)
+    confidence = F.round(0.7 * F.col("sim") + 0.1 * close("price", 0.5) + 0.1 * close("weight", 0.3) + 0.1 * brand, 4)
+    return both.select(F.col("key_a").alias("asin"), F.col("key_b").alias("item_code"), confidence.alias("confidence")).where(F.col("confidence") >= sure)
 
 
 def p3_links(spark, folder):

@@ -7,10 +7,10 @@ from weft.llm.encoding import p8_ids
 from weft.llm.linkage import p3_found, p3_links
 from weft.llm.mixing import p9_mix, p9_shares
 from weft.llm.reading import p10_found, p10_levels
-from weft.llm.same_product import p1_found, p1_groups
+from weft.llm.same_product import p1_found, p1_groups, p1_stages
 from weft.llm.survivors import p7_found, p7_golden
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_links, p5_found, p5_values, p7_found, p7_golden, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p1_stages, p3_found, p3_links, p5_found, p5_values, p7_found, p7_golden, p8_ids, p9_mix, p9_shares, p10_found, p10_levels)}
 
 SQL: dict[str, str] = {}
 

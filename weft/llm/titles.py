@@ -1,13 +1,14 @@
-"""Normalised tokens of a product title: what is sold, its variants, and the words that name it.
+"""Normalised tokens of a product title: what is stated of the variant, and the words that name it.
 
 A title is split into
-  acc      kind of accessory sold ("case", "part", "lid", "cover"), or ""
-  article  canonical article ("yoga mat"), or ""
-  variants canonical variant tokens: numeric ones as (dimension, value in base units), others as words ("c:red", "s:xl")
-  codes    model codes ("EGH4834")
-  words    all other words, without marketing phrases
-Null and empty titles give empty parts.  The tables below are a parameter
-(``Lexicon``): a catalogue of other articles brings its own.
+  acc    kind of accessory sold ("case", "part", "lid", "cover"), or ""
+  dims   stated numbers as "dimension=value in base units"
+  names  stated colours, letter sizes and flavours
+  words  all other words, model codes among them (code is the first of these)
+Nothing here knows the articles, brands or advertisements of a catalogue: what
+a word is worth is learned from the listings (``weights``), and the lexicon
+holds public facts of language only; its learned part comes from ``learn``.
+Null and empty titles give empty parts.
 """
 
 from __future__ import annotations
@@ -17,72 +18,35 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from weft.functions.units import NUMBER, number, segment
+from weft.functions.units import number, segment
 
-# Wordings of one article each; the first is canonical.
-ARTICLES = [
-    ["stand mixer", "kitchen mixer", "food mixer"],
-    ["air fryer", "hot air fryer", "oil-free fryer"],
-    ["laptop backpack", "notebook rucksack", "computer daypack"],
-    ["dog bed", "pet bed", "dog cushion"],
-    ["leggings", "training tights", "yoga pants"],
-    ["storage box", "organizer bin", "lidded container"],
-    ["building blocks", "construction bricks", "toy bricks"],
-    ["charging cable", "charger cord", "power cable"],
-    ["baby wipes", "cleansing wipes", "wet wipes"],
-    ["ground coffee", "filter coffee", "roast coffee"],
-    ["frying pan", "skillet", "saute pan"],
-    ["chef knife", "kitchen knife", "cook's knife"],
-    ["desk lamp", "table lamp", "reading light"],
-    ["monitor", "display screen", "pc screen"],
-    ["yoga mat", "exercise mat", "gym mat"],
-    ["board game", "family game", "tabletop game"],
-    ["shampoo", "hair wash", "hair cleanser"],
-    ["wireless headset", "over-ear headphones", "bt headphones"],
-    ["water bottle", "drinking bottle", "flask"],
-    ["cordless mouse", "pc mouse", "computer mouse"],
-    ["phone mount", "dashboard mount", "car phone holder"],
-    ["laundry detergent", "laundry soap", "washing liquid"],
-    ["cat litter", "kitty litter", "cat sand"],
-    ["notebook", "note pad", "writing journal"],
-    ["cordless drill", "drill driver", "battery drill"],
-    ["whey protein powder", "protein mix", "whey shake"],
-    ["running shoes", "jogging shoes", "trainers"],
-    ["office chair", "desk chair", "swivel chair"],
-    ["face cream", "facial moisturizer", "day cream"],
-    ["bluetooth speaker", "bt speaker", "wireless loudspeaker"],
-    ["ukulele", "soprano uke", "small guitar"],
-    ["tripod", "camera stand", "photo stand"],
-    ["t-shirt", "crew neck shirt", "tee"],
-    ["bath towel", "shower towel", "terry towel"],
-    ["garden hose", "hosepipe", "water hose"],
-    ["gel pens", "ink pens", "rollerball pens"],
-]
-# Accessories sold for an article.
-ACCESSORIES = {"case": ["carry case for", "carrying case for", "case for"], "part": ["spare part for", "spare parts for"], "lid": ["replacement lid for", "lid for"], "cover": ["cover compatible with", "cover for", "compatible with"]}
-# Words that advertise and name nothing.
-MARKETING = ["great gift idea", "ships today", "top rated", "best seller", "eco choice", "professional grade", "new!", "100% satisfaction", "free returns", "2025 model", "must have", "original", "amazing", "hot sale", "upgraded", "premium", "value deal", "limited offer", "for men women kids", "trusted quality", "gift wrap", "fast shipping", "easy return", "tracked"]
-# Wordings of colours.
-COLOURS = {"red": ["red", "cherry red", "rd", "rot", "rouge", "rojo"], "blue": ["blue", "royal blue", "blu", "blau", "bleu", "azul"], "green": ["green", "forest green", "grn", "grün", "vert", "verde"], "black": ["black", "jet black", "blk", "schwarz", "noir", "negro"], "white": ["white", "pure white", "wht", "weiß", "weiss", "blanc", "blanco"], "grey": ["grey", "gray", "slate grey", "slate gray", "gry", "grau", "gris"]}
-# Wordings of clothing sizes, flavours and other named variants.
-SIZES = {"s": ["small", "sm", "s"], "m": ["medium", "med", "m"], "l": ["large", "lg", "l"], "xl": ["extra large", "x-large", "xl"], "xxl": ["xx-large", "xxl"]}
-FLAVOURS = {"vanilla": ["vanilla", "vanil"], "chocolate": ["chocolate", "choc"], "strawberry": ["strawberry", "strawb"]}
+# Basic colour terms in English, German, French and Spanish, and their usual abbreviations.
+COLOURS = {
+    "black": ["black", "blk", "schwarz", "noir", "negro"], "white": ["white", "wht", "weiss", "blanc", "blanco"], "red": ["red", "rd", "rot", "rouge", "rojo"], "green": ["green", "grn", "grun", "vert", "verde"],
+    "blue": ["blue", "blu", "blau", "bleu", "azul"], "yellow": ["yellow", "yel", "gelb", "jaune", "amarillo"], "brown": ["brown", "brn", "braun", "brun", "marron"], "grey": ["grey", "gray", "gry", "grau", "gris"],
+    "orange": ["orange", "orn", "naranja"], "purple": ["purple", "violet", "lila", "morado"], "pink": ["pink", "pnk", "rosa"],
+}
+# Letter sizes.
+SIZES = {"s": ["small", "sm", "s"], "m": ["medium", "med", "m"], "l": ["large", "lg", "l"], "xl": ["xl", "xlarge", "extralarge"], "xxl": ["xxl", "xxlarge"]}
 # Shoe sizes, European to US.
-SHOES = {"40": "7", "41": "8", "42": "9", "43": "10", "44": "11"}
-# Words cut short.
-SHORT = {"org": "organizer", "gdn": "garden", "ofc": "office", "wrls": "wireless", "comp": "computer", "ktchn": "kitchen", "btl": "bottle", "rst": "resistant", "mem": "memory"}
-#: Numeric values within this ratio are the same variant.
-SAME = 1.045
+SHOES = {"40": 7, "41": 8, "42": 9, "43": 10, "44": 11}
+# Words that count pieces, and how many a word stands for.
+COUNTS = {"pack": 1, "packs": 1, "pk": 1, "ct": 1, "count": 1, "unit": 1, "units": 1, "er": 1, "piece": 1, "pieces": 1, "pcs": 1, "players": 1, "player": 1, "plyrs": 1, "pages": 1, "page": 1, "pgs": 1, "pp": 1, "sheets": 2, "sheet": 2}
+# Function words, and words of sizes and counts that say nothing alone.
+STOP = frozenset("a an by of the and with for to up size sz max approx us eu uk er x pack pk ct unit units".split())
+#: Units too short to be one after what looks like a model code.
+SHORT = frozenset(("t", "m", "l", "s", "h", "dg", "us", "eu", "uk"))
+#: One litre of goods counts as one kilogram, as "oz" may be either.
+AXIS = {"volume": "mass"}
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    articles: list = field(default_factory=lambda: ARTICLES)
-    accessories: dict = field(default_factory=lambda: ACCESSORIES)
-    marketing: list = field(default_factory=lambda: MARKETING)
-    colours: dict = field(default_factory=lambda: COLOURS)
-    sizes: dict = field(default_factory=lambda: SIZES)
-    flavours: dict = field(default_factory=lambda: FLAVOURS)
+    """compounds: pairs of words of which the second is hardly found without the first; stock: words after "for" that only advertise; flavours: words that stand before "flavour"."""
+
+    compounds: frozenset = field(default_factory=frozenset)
+    stock: frozenset = field(default_factory=frozenset)
+    flavours: frozenset = field(default_factory=frozenset)
 
 
 def plain(text: str | None) -> str:
@@ -91,7 +55,7 @@ def plain(text: str | None) -> str:
     if "&" in s:
         s = html.unescape(s)
     if s.isascii():
-        return " ".join(s.lower().split())
+        return s.lower()
     if "Ã" in s or "ã©" in s or "Â" in s:
         try:
             s = s.replace("ã©", "Ã©").encode("cp1252").decode("utf-8")
@@ -99,7 +63,7 @@ def plain(text: str | None) -> str:
             s = s.replace("ã©", "e").replace("Ã©", "e")
     s = unicodedata.normalize("NFKD", s.casefold())
     s = "".join(ch for ch in s if not unicodedata.combining(ch))
-    return " ".join(s.replace("’", "'").replace("″", '"').split())
+    return s.replace("’", "'").replace("″", '"')
 
 
 def near(a: str, b: str) -> bool:
@@ -117,226 +81,160 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
 
 
-_WORD = re.compile(r"[a-z0-9][a-z0-9'-]*")
-
-
-def _words(s: str) -> list[str]:
-    return _WORD.findall(s)
-
-
-def one_of(words) -> str:
-    """A pattern for any of the words, the longest first, as a tree of their beginnings: a search tries one branch, not every word."""
-    top: dict = {}
-    for w in words:
-        at = top
-        for ch in w:
-            at = at.setdefault(ch, {})
-        at[""] = {}
-
-    def build(at: dict) -> str:
-        parts = [re.escape(ch) + build(at[ch]) for ch in sorted(at) if ch]
-        if not parts:
-            return ""
-        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
-        return f"(?:{body})?" if "" in at else body
-
-    return build(top)
+TOKEN = re.compile(r"[a-z]{2,4}-?[0-9]{3,5}(?![a-z0-9]|[.,][0-9])|[a-z]+(?:'[a-z]+)*|[0-9]+(?:[.,][0-9]+)*|[\"'#%]")
+CODE = re.compile(r"[a-z]{2,4}-?[0-9]{3,5}")
 
 
 class Parser:
-    """Splits titles; built once per Python worker."""
-
-    UNIT = r"fl\.? ?oz|litres?|liters?|quarts?|metres?|meters?|inch(?:es)?|ounces?|pounds?|grams?|grammes?|watts?|volts?|hours?|feet|foot|zoll|dpi|kdpi|kg|ml|cl|dl|cm|mm|qt|lbs?|oz|kw|ft|in|hr|min|[glmwvhk]|\"|'"
+    """Splits titles; built once per Python worker.  What a word or a unit means is looked up once."""
 
     def __init__(self, lex: Lexicon | None = None):
-        lex = lex or Lexicon()
-        alt = one_of
-        self.article = {plain(w): a[0] for a in lex.articles for w in a}
-        self.articles = re.compile(rf"(?<![a-z0-9])({alt(self.article)})(?![a-z0-9])")
-        self.acc = {plain(w): k for k, ws in lex.accessories.items() for w in ws}
-        self.accs = re.compile(rf"(?<![a-z0-9])({alt(self.acc)})(?![a-z0-9])")
-        self.marketing = re.compile(rf"(?<![a-z0-9])({alt(map(plain, lex.marketing))})(?![a-z0-9])")
-        self.colour = {plain(w): k for k, ws in lex.colours.items() for w in ws}
-        self.colours = re.compile(rf"(?<![a-z0-9'-])({alt(self.colour)})\.?(?![a-z0-9'])")
-        self.size = {w: k for k, ws in lex.sizes.items() for w in ws}
-        self.sizes = re.compile(rf"(?<![a-z0-9'-])(?:size |sz\.? )?({alt(self.size)})(?![a-z0-9'])")
-        self.flavour = {w: k for k, ws in lex.flavours.items() for w in ws}
-        self.flavours = re.compile(rf"(?<![a-z])({alt(self.flavour)})\.?(?: flavou?r)?(?![a-z])")
-        self.code = re.compile(r"(?<![a-z0-9])([a-z]{3})[- ]?(\d{4})(?![a-z0-9])")
-        # Words of the fixed phrases, for repairing one typing error in a phrase.
-        phrases = [*self.article, *self.acc, *map(plain, lex.marketing), *[w for w in self.colour if len(w) > 4]]
-        self.vocab = {w for p in phrases for w in p.split()} | {"pack", "units", "pieces", "players", "battery", "playtime", "capacity", "pages", "sheets", "size", "watts", "volts", "litre", "liter", "metres", "ounce", "quart", "flavour"}
-        self.by_len: dict[int, list[str]] = {}
-        for w in self.vocab:
-            if len(w) >= 4 and w.isalpha():
-                self.by_len.setdefault(len(w), []).append(w)
-        self.fixed: dict[str, str] = {}
-        self.by_size: dict[int, list[str]] = {}
-        for w in self.article:
-            for n in (len(w) - 1, len(w), len(w) + 1) if len(w) > 5 else ():
-                self.by_size.setdefault(n, []).append(w)
-        self.word = re.compile(r"[a-z]+(?:(?<=[a-z]{3})\.(?= ))?")
-        self.cache: dict[str, str] = {}
-
-    def repair(self, w: str) -> str:
-        """A word one error away from a word of the fixed phrases becomes it (words of five letters or more; shorter ones only by a doubled or swapped letter)."""
-        if w in self.vocab or w in KEEP or len(w) < 4 or not w.isalpha():
-            return w
-        hit = self.fixed.get(w)
+        self.lex = lex or Lexicon()
+        self.name = {w: "c:" + k for k, ws in COLOURS.items() for w in ws}
+        self.size = {w: "s:" + k for k, ws in SIZES.items() for w in ws}
+        self.kinds: dict[str, str] = {}
+        self.units: dict[str, tuple | None] = {}
+        self.long = [w for w in COLOURS if len(w) >= 5]
+        self.counts = [w for w in COUNTS if len(w) >= 5]
+        self.flavours = sorted(self.lex.flavours)
+        self.looks: dict[str, int] = {"": 1, "x": 5}
+
+    def kind(self, w: str) -> str:
+        """What a word states: "c:" a colour, "f:" a flavour (also one cut short or misspelt), or ""."""
+        hit = self.kinds.get(w)
         if hit is None:
-            hit = w
-            for n in (len(w), len(w) - 1, len(w) + 1):
-                c = [v for v in self.by_len.get(n, ()) if near(w, v) and (len(v) >= 5 or sorted(v) == sorted(w) or (len(w) > len(v)))]
-                if c:
-                    hit = min(c)
-                    break
-            if len(self.fixed) < 500_000:
-                self.fixed[w] = hit
+            hit = self.name.get(w, "")
+            if not hit and len(w) >= 4:
+                for v in self.flavours:
+                    if w == v or v.startswith(w) or (len(v) >= 6 and near(w, v)):
+                        hit = "f:" + v
+                        break
+                else:
+                    if len(w) >= 5:
+                        c = [v for v in self.long if near(w, v)]
+                        hit = self.name[c[0]] if len(c) == 1 else ""
+            if len(self.kinds) < 500_000:
+                self.kinds[w] = hit
         return hit
 
-    def known(self, m) -> str:
-        """A word as it is meant: spelt out if cut short, repaired if misspelt."""
-        w = m[0]
-        hit = self.cache.get(w)
-        if hit is None:
-            bare = w.rstrip(".")
-            hit = SHORT.get(bare) or (self.repair(bare) + w[len(bare) :])
-            if len(self.cache) < 500_000:
-                self.cache[w] = hit
+    def unit(self, w: str) -> tuple | None:
+        """("n", factor) of a word that counts, (dimension, factor) of a unit, or None."""
+        hit = self.units.get(w, self)
+        if hit is self:
+            hit = ("n", COUNTS[w]) if w in COUNTS else None
+            if hit is None and not self.kind(w) and w[0] not in "0123456789":
+                u = segment(w)
+                hit = (AXIS.get(u[1], u[1]), u[2]) if u and "^" not in u[1] and " " not in u[1] else None
+            if hit is None and len(w) >= 4 and not self.kind(w):
+                c = [v for v in self.counts if near(w, v)]
+                hit = ("n", COUNTS[c[0]]) if c else None
+                if hit is None:
+                    for v in ("litre", "liter", "quart", "ounce", "pound", "gram", "metre", "meter", "watt", "volt", "hour", "inch"):
+                        if near(w, v) or near(w, v + "s"):
+                            u = segment(v)
+                            hit = (AXIS.get(u[1], u[1]), u[2])
+                            break
+            if len(self.units) < 500_000:
+                self.units[w] = hit
         return hit
 
-    def misspelt(self, s: str) -> list:
-        """The article of a title that spells it with one error, where only one article is that near."""
-        spans = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9'-]+", s)]
-        found = set()
-        for i in range(len(spans)):
-            for j in range(i, min(i + 3, len(spans))):
-                part = s[spans[i][0] : spans[j][1]]
-                for phrase in self.by_size.get(len(part), ()):
-                    if near(part, phrase):
-                        found.add((spans[i][0], spans[j][1], self.article[phrase]))
-        longest = max((e - b for b, e, _ in found), default=0)
-        found = {x for x in found if x[1] - x[0] == longest}
-        return sorted(found) if len({a for *_, a in found}) == 1 else []
-
-    # (texts of which one must occur, pattern, dimension, factor)
-    COUNTED = [
-        ((" of ",), r"(?<![\w.])(?:pack|set) of (\d+)\b", "pack", 1),
-        (("pack", "pk", "ct", "unit", "count"), r"(?<![\w.])(\d+)(?:-| )?(?:er[- ]pack|er pack|-?pack|pk|ct(?!\.)|units?|count)\b(?!\.)", "pack", 1),
-        (("piece", "pcs", "ct."), r"(?<![\w.])(\d+)[ -]?(?:pieces?|pcs|ct\.)(?![a-z])", "pieces", 1),
-        (("x",), r"(?<![\w.])x ?(\d+)\b", "pack", 1),
-        (("er",), r"(?<![\w.])(\d+)er\b", "pack", 1),
-        (("pl",), r"(?:up to |1 ?- ?)?(?<![\w.])(\d+) ?(?:players?|plyrs)\b", "players", 1),
-        (("sheet",), r"(?<![\w.])(\d+) ?sheets?\b", "pages", 2),
-        (("page", "pgs", "pp"), r"(?<![\w.])(\d+) ?(?:pages?|pgs|pp)\b", "pages", 1),
-        (("max",), r"\bmax\.? ?(\d+(?:[.,]\d+)?) ?kg\b", "load", 1),
-        (("capacity",), r"(?<![\w.])(\d+(?:[.,]\d+)?) ?lbs? capacity\b", "load", 0.45359237),
-        (("dpi",), r"(?<![\w.])(\d+(?:\.\d+)?) ?k ?dpi\b", "resolution", 1000),
-        (("size", "sz"), r"\b(?:us|uk)? ?(?:size|sz\.?) ?(\d+)\b", "shoe", 1),
-        (("eu",), r"\beu ?(\d+)\b", "shoe", 0),
-        (("us",), r"\bus ?(\d+)\b", "shoe", 1),
-    ]
-    COUNTED = [(need, re.compile(p), d, f) for need, p, d, f in COUNTED]
-    DIGIT = re.compile(r"\d")
-    MEASURED = re.compile(rf"(?<![\w.,])({NUMBER})[ -]?({UNIT})(?![a-z0-9])(?: (?:battery|playtime|capacity))?")
-
-    def numeric(self, s: str, article: str, out: list) -> str:
-        """Takes counted and measured variants out of s."""
-        if not self.DIGIT.search(s):
-            return s
-        for need, pattern, dim, factor in self.COUNTED:
-            if any(w in s for w in need):
-
-                def put(m, dim=dim, factor=factor):
-                    v = (number(m[1]) or 0) * factor if factor else float(SHOES.get(m[1], m[1]))
-                    if v:
-                        out.append((dim, float(v)))
-                    return " | "
-
-                s = pattern.sub(put, s)
-
-        def measured(m):
-            u = segment(m[2])
-            v = number(m[1], grouped=False)
-            if u is None or not v:
-                return m[0]
-            dim, value = u[1], v * u[2]
-            if dim == "mass" and u[0] == "oz" and article in LIQUID:  # "12 oz" of a liquid is fluid ounces
-                dim, value = "volume", v * 0.0295735295625
-            out.append(("load" if article in LOADED and dim == "mass" else dim, value))
-            return " | "
-
-        return self.MEASURED.sub(measured, s)
-
-    def parse(self, title: str | None) -> dict:
-        s = plain(title)
-        s = self.word.sub(self.known, s)
-        s = self.marketing.sub(" | ", s)
-        codes = []
-
-        def code(m):
-            if m[1] in self.colour:
-                return m[0]
-            codes.append((m[1] + m[2]).upper())
-            return " | "
-
-        acc, target = "", ""
-        m = self.accs.search(s) if any(w in s for w in self.acc) else None
-        arts = [(x.start(), x.end(), self.article[x[1]]) for x in self.articles.finditer(s)]
-        arts = arts or self.misspelt(s)
-        article = max(arts, key=lambda x: x[1] - x[0])[2] if arts else ""
-        if m:
-            acc = self.acc[m[1]]
-            end = next((e for b, e, _ in arts if b >= m.end()), None)
-            stop = next((b for b, e, _ in arts if b >= m.end()), len(s))
-            article = next((a for b, e, a in arts if b >= m.end()), article)
-            target = " ".join(sorted(_words(s[m.end() : stop])))
-            s = s[: m.start()] + " | " + (s[end:] if end else "")
+    def look(self, t: str) -> int:
+        """What has to be done with a token: 0 a word, 1 nothing, 2 a number, 3 a code, 4 "for" or "compatible", 5 perhaps a size, 6 a colour or flavour."""
+        if t[0] in "0123456789":
+            k = 2
+        elif t in "\"'#%":
+            k = 1
+        elif t[-1] in "0123456789":
+            k = 3
+        elif t in ("for", "compatible"):
+            k = 4
+        elif t in self.size or t in ("xx", "extra"):
+            k = 5
         else:
-            for b, e, _ in reversed(arts):
-                s = s[:b] + " | " + s[e:]
-        dims: list = []
-        s = self.numeric(s, article, dims)
-        if self.DIGIT.search(s):
-            s = self.code.sub(code, s)
-        names: list[str] = []
-
-        def name(kind, table):
-            def put(m):
-                names.append(kind + table[m[1]])
-                return " | "
-            return put
-
-        if any(w in s for w in self.flavour):
-            s = self.flavours.sub(name("f:", self.flavour), s)
-        s = self.colours.sub(name("c:", self.colour), s)
-        if article in SIZED:
-            s = self.sizes.sub(name("s:", self.size), s)
-        words = [w.strip("'-") for w in _words(s.replace("|", " ")) if w not in STOP]
-        return {"acc": acc, "target": target, "article": article, "codes": sorted(set(codes)), "dims": sorted({(d, round(v, 5)) for d, v in dims}), "names": sorted(set(names)), "words": [w for w in words if w and not w.isdigit()]}
-
-
-# Articles whose ounces are fluid, articles with letter sizes, and words that carry nothing.
-LIQUID = {"shampoo", "water bottle", "face cream", "laundry detergent"}
-LOADED = {"office chair"}
-KEEP = {"over", "back", "head", "load", "ball", "cable", "table", "pens", "pans", "hot", "cast", "fast", "mesh", "case", "care", "tank", "tang", "trade", "white", "matte", "plan", "clear", "cover", "coffee", "charge", "note"}
-SIZED = {"dog bed", "leggings", "t-shirt"}
-STOP = {"by", "load",  "of", "the", "and", "with", "for", "size", "sz", "approx", "max", "capacity", "battery", "playtime", "er", "us", "eu", "up", "to", "official", "r", "tm"}
-
-
-def agree(a: list, b: list) -> bool:
-    """Numeric variants of the same dimension have the same values; a dimension that one side leaves out is no contradiction."""
-    da: dict[str, list] = {}
-    db: dict[str, list] = {}
-    for k, v in a:
-        da.setdefault(k, []).append(v)
-    for k, v in b:
-        db.setdefault(k, []).append(v)
-    for k in da.keys() & db.keys():
-        x, y = sorted(da[k]), sorted(db[k])
-        if len(x) != len(y):
-            if not any(max(p, q) <= SAME * min(p, q) for p in x for q in y):
-                return False
-        elif any(max(p, q) > SAME * min(p, q) for p, q in zip(x, y)):
-            return False
-    return True
+            k = 6 if self.kind(t) else 0
+        if len(self.looks) < 500_000:
+            self.looks[t] = k
+        return k
+
+    def parse(self, title: str | None) -> tuple[str, str, list[str], list[str], list[str]]:
+        """(acc, code, names, dims, words) of a title."""
+        toks = TOKEN.findall(plain(title))
+        toks.append("")
+        looks, words, dims, names = self.looks, [], [], []
+        code = acc = prev = ""
+        skip = 0
+        for i, t in enumerate(toks):
+            if skip:
+                skip -= 1
+                continue
+            k = looks.get(t)
+            if k is None:
+                k = self.look(t)
+            if k == 0:
+                words.append(t)
+            elif k == 2:
+                skip, code = self._number(toks, i, words, dims, code)
+            elif k == 3:
+                t = t.replace("-", "")
+                code = code or t
+                words.append(t)
+            elif k == 6:
+                (words if (t, toks[i + 1]) in self.lex.compounds else names).append(t if (t, toks[i + 1]) in self.lex.compounds else self.kind(t))
+            elif k == 4:
+                nxt = toks[i + 1]
+                if t == "compatible":
+                    if nxt != "with":
+                        continue
+                    skip = 1
+                elif nxt in self.lex.stock:
+                    continue
+                acc = (words[-1].rstrip("s") if words else "") or "with"
+            elif k == 5:
+                nxt = toks[i + 1]
+                if t in ("x", "xx", "extra"):
+                    if nxt in ("large", "lg", "l"):
+                        names.append("s:xxl" if t == "xx" else "s:xl")
+                        skip = 1
+                    else:
+                        words.append(t)
+                elif (t, nxt) in self.lex.compounds or toks[i - 1] == "'":
+                    words.append(t)
+                else:
+                    names.append(self.size[t])
+        return acc, code, sorted(set(names)), sorted({f"{d}={v:.5g}" for d, v in dims if v}), [w for w in dict.fromkeys(words) if w not in STOP]
+
+    def _number(self, toks: list[str], i: int, words: list[str], dims: list[tuple], code: str) -> tuple[int, str]:
+        """Takes the number at i into dims, or into words as part of a code; (tokens to skip, code)."""
+        t, nxt, prev = toks[i], toks[i + 1], toks[i - 1] if i else ""
+        last = words[-1] if words else ""
+        if prev in ("size", "sz", "us", "eu", "uk"):
+            dims.append(("shoe", float(SHOES.get(t, number(t) or 0))))
+            return 0, code
+        if prev == "of" and i > 1 and toks[i - 2] in ("pack", "set"):
+            dims.append(("n", float(number(t) or 0)))
+            del words[-2:]
+            return 0, code
+        v = number(t, grouped=False) or 0
+        if nxt == "fl" and toks[i + 2][:2] in ("oz", "ou"):
+            dims.append(("mass", v * 0.0295735295625))
+            return 2, code
+        if nxt == "k" and toks[i + 2] == "dpi":
+            dims.append(("resolution", v * 1000))
+            return 2, code
+        if nxt == "%":
+            return 1, code
+        coded = t.isdigit() and prev == last and not (len(t) == 4 and t[:2] in ("19", "20"))
+        if coded and len(t) == 4 and len(last) == 3 and nxt in SHORT and last not in STOP:
+            words[-1] = last + t
+            return 0, code or words[-1]
+        if nxt and nxt not in ("us", "eu", "uk") and not (nxt == "pack" and toks[i + 2] == "of"):
+            u = self.unit(nxt)
+            if u:
+                dims.append((u[0], v * u[1]))
+                return 1 + (nxt == "er" and toks[i + 2] == "pack"), code
+        if prev == "x":
+            dims.append(("n", float(number(t) or 0)))
+        elif coded and 3 <= len(t) <= 5 and 2 <= len(last) <= 4:
+            words[-1] = last + t
+            return 0, code or words[-1]
+        return 0, code

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,22 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weft-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
     if not _written:
         atexit.register(sweep)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    # The shuffles behind a written table are of no use any more; Spark removes their files when the driver collects its garbage.
+    if time.monotonic() - _collected[0] > PAUSE:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+    return spark.read.schema(schema).parquet(path)
 
 
 _written: list = []
+_collected = [0.0]
+#: Seconds between two collections of the driver's garbage.
+PAUSE = 3.0
 
 
 def sweep() -> None:

@@ -5,9 +5,9 @@ belong together; ``parse`` splits every title (``titles``); ``blocks`` puts the
 stated variant (accessory, colours, sizes, numbers in base units) into one
 key.  What remains are words and model codes.
 
-What a token is worth is learned from the titles that state a model code: the
-share of the pairs of titles of one code that have the token in common, over
-the share that chance gives, as a squared logarithm (``statistics``).  Words that
+What a token is worth is learned from the titles that state a model code: how
+much likelier two titles that share the token are to have one code than any two
+titles, as a squared logarithm (``statistics``).  Words that
 advertise come out at nothing, words of an article or a brand in between, words
 that name a product high.
 
@@ -19,6 +19,7 @@ Nulls: listings without key or title are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -123,102 +124,133 @@ def blocks(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("block", block).drop("variant", "dims")
 
 
+def token_hash(words: Column) -> Column:
+    """The hashes of an array of tokens, which stand for them from here on."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def borne(rows: DataFrame) -> DataFrame:
-    """token, code, m: how many of the rows with the token state the code ('' for none)."""
-    return rows.select("code", F.explode("words").alias("token")).groupBy("token", "code").agg(F.count(F.lit(1)).alias("m"))
+    """h, c, m: how many of the rows that state the code (c, its hash) have the token (h)."""
+    return rows.where("code <> ''").select(F.xxhash64("code").alias("c"), F.explode(token_hash(F.col("words"))).alias("h")).groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
+
+
+def chance(seen: DataFrame) -> float:
+    """Share of the pairs of coded rows that have the same code; seen: borne() counts."""
+    r = seen.where("h = c").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1)).alias("p")).first()
+    n = r["n"] or 0
+    return max(1, r["p"] or 0) / (n * (n - 1)) if n > 1 else 0.5
+
+
+def statistics(seen: DataFrame, base: float) -> DataFrame:
+    """h, n (coded rows that have the token), w (its worth).
+
+    The worth is the squared logarithm of how much likelier two rows that share
+    the token are to have one code than any two rows (base).  A token of one row
+    counts as half as telling as it can be.
+    """
+    n = F.col("n")
+    s = seen.groupBy("h").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1)).alias("together"))
+    lift = F.greatest(F.lit(0.0), F.log((F.col("together") + 0.5) / (n * (n - 1) + 1) / base))
+    return s.select("h", "n", (lift * lift).cast("float").alias("w"))
 
 
-def statistics(seen: DataFrame, rows: int) -> DataFrame:
-    """token, n (rows with a code that have it), w (its worth) from the counts of borne()."""
-    own = seen.where("token = code").select("code", F.col("m").alias("of"))
-    s = seen.join(own, "code", "left")
-    coded = lambda x: F.coalesce(F.sum(F.when(F.col("code") != "", x)), F.lit(0))
-    m = F.col("m")
-    s = s.groupBy("token").agg(F.sum("m").alias("df"), coded(m).alias("n"), coded(m * (m - 1)).alias("together"), coded(m * (F.col("of") - 1)).alias("chances"))
-    # Without a chance to be seen twice a token is as loyal as not.
-    loyal = (F.col("together") + 0.5) / (F.col("chances") + 1)
-    lift = F.greatest(F.lit(0.0), F.log(loyal * F.lit(float(max(1, rows))) / F.col("df")))
-    return s.select("token", "n", (lift * lift).cast("float").alias("w"))
+def fresh(base: float) -> float:
+    """The worth of a token that no coded row has."""
+    return max(0.0, math.log(0.5 / base)) ** 2
 
 
 def misspelt(unknown: DataFrame, stands: DataFrame) -> DataFrame:
-    """token, code, share for words that no coded title has: what the words one letter off (one swap counts) stand for.
+    """h, c, share for the unknown words (token, h): what the words one letter off (one swap counts) stand for; stands: token, c, share.
 
     Both sides are joined on what is left of a word without one of its letters,
     which finds every such pair.
     """
     less = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.lit(1 << 20))))))
     word = lambda c: F.col(c).rlike("^[a-z]{4,}$")
-    a = unknown.where(word("token")).select("token", F.explode(less("token")).alias("d"))
-    b = stands.where(word("token")).select(F.col("token").alias("meant")).distinct().select("meant", F.explode(less("meant")).alias("d"))
+    a = unknown.where(word("token")).select("token", "h", F.explode(less("token")).alias("d"))
+    b = stands.where(word("token")).select(F.col("token").alias("meant"), "c", "share").select("meant", "c", "share", F.explode(less("meant")).alias("d"))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     edits = F.levenshtein("token", "meant", 2)
-    near = a.join(b, "d").select("token", "meant").distinct().where((edits == 1) | ((edits == 2) & (F.length("token") == F.length("meant")) & (letters("token") == letters("meant"))))
-    return near.join(stands.withColumnRenamed("token", "meant"), "meant").groupBy("token", "code").agg((F.max("share") * OFF).alias("share"))
+    near = a.join(b, "d").where((edits == 1) | ((edits == 2) & (F.length("token") == F.length("meant")) & (letters("token") == letters("meant"))))
+    return near.groupBy("h", "c").agg((F.max("share") * OFF).alias("share"))
 
 
-def speaking(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, code, share of every code a token speaks for; token, n of all tokens that coded rows have)."""
-    coded = seen.where("code <> '' and token <> code")
-    n = coded.groupBy("token").agg(F.sum("m").alias("n"))
-    return coded.join(n, "token").where(F.col("m") >= SPEAKS * F.col("n")).select("token", "code", (F.col("m") / F.col("n")).alias("share")), n
+def speaking(seen: DataFrame, n: DataFrame) -> DataFrame:
+    """h, c, share of every code that a token speaks for; n: h, n of the tokens."""
+    return seen.where("h <> c").join(n.select("h", "n"), "h").where(F.col("m") >= SPEAKS * F.col("n")).select("h", "c", (F.col("m") / F.col("n")).alias("share"))
 
 
-def votes(open_: DataFrame, seen: DataFrame) -> DataFrame:
-    """id, code of the open rows (id, words) that the counts of borne() give one."""
-    stands, n = speaking(seen)
-    stands = cut(stands)
-    flat = open_.select("id", F.explode("words").alias("token"))
-    unknown = flat.select("token").distinct().join(n, "token", "left_anti")
-    every = stands.unionByName(misspelt(unknown, stands))
-    score = flat.join(every, "token").groupBy("id", "code").agg(F.sum("share").alias("s"))
-    # A row has at most 1 / SPEAKS codes for each of its words.
-    best = score.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "code")), asc=False), 1, 2).alias("b"))
-    return best.where((F.col("b")[0]["s"] >= ACCEPT) & (F.col("b")[0]["s"] - F.coalesce(F.get("b", F.lit(1))["s"], F.lit(0.0)) >= LEAD)).select("id", F.col("b")[0]["code"].alias("code"))
+def votes(flat: DataFrame, stands: DataFrame) -> DataFrame:
+    """id, c of the open rows (flat: id, h) that get a code from the tokens that speak."""
+    score = flat.select("id", "h").join(stands, "h").groupBy("id", "c").agg(F.sum("share").alias("s"))
+    # A row has at most 1 / SPEAKS codes for each of its words, and the like for each word one letter off.
+    best = score.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "c")), asc=False), 1, 2).alias("b"))
+    return best.where((F.col("b")[0]["s"] >= ACCEPT) & (F.col("b")[0]["s"] - F.coalesce(F.get("b", F.lit(1))["s"], F.lit(0.0)) >= LEAD)).select("id", F.col("b")[0]["c"].alias("c"))
 
 
-def complete(rows: DataFrame, seen: DataFrame, guard: int = GUARD) -> DataFrame:
-    """id, code of every row without a code that gains one.
+def complete(rows: DataFrame, seen: DataFrame, stat: DataFrame, guard: int = GUARD) -> DataFrame:
+    """id, c (hash of a code) of every row without a code that gains one.
 
-    rows: id, code, words; seen: their borne() counts, written.  What a round
-    gives speaks in the next, for the rows still open.  Every round but the last
-    gives a row a code, so that the rounds end; should they reach guard before,
+    rows: id, code, words; seen, stat: their borne() counts and statistics(), written.  What a round
+    gives speaks in the next, for the rows still open; of the counts, only those of their words are kept.
+    Every round but the last gives a row a code, so that the rounds end; should they reach guard before,
     the call fails rather than leave codes out.
     """
-    open_ = rows.where("code = ''").select("id", "words")
+    token = lambda d: d.select("*", F.explode("words").alias("token")).withColumn("h", F.xxhash64("token"))
+    flat = cut(token(rows.where("code = ''").select("id", "words")).select("id", "token", "h"))
+    stands = cut(speaking(seen, stat))
+    strange = lambda f: f.select("token", "h").distinct().join(stat, "h", "left_anti")
+    known = token(rows.where("code <> ''").select("words")).select("token", "h").distinct().join(stands, "h").select("token", "c", "share")
+    near = cut(misspelt(strange(flat), known))
     out = None
     for _ in range(guard):
-        best = cut(votes(open_, seen))
+        best = cut(votes(flat, stands.unionByName(near)))
         if best.isEmpty():
             return best if out is None else out
         out = best if out is None else out.unionByName(best)
-        gained = open_.join(best, "id")
-        open_ = cut(open_.join(best, "id", "left_anti"))
-        # Of the counts, only those of the words of open rows, or one letter off, matter from here on.
-        more = borne(gained.select("code", "words"))
-        seen = cut(seen.where("code <> ''").unionByName(more).groupBy("token", "code").agg(F.sum("m").alias("m")))
+        gained = cut(flat.join(best, "id").select("token", "h", "c"))
+        flat = cut(flat.join(best, "id", "left_anti"))
+        words = flat.select("h").distinct()
+        more = gained.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
+        seen = cut(seen.unionByName(more).join(words, "h", "left_semi").groupBy("h", "c").agg(F.sum("m").alias("m")))
+        stands = speaking(seen, seen.groupBy("h").agg(F.sum("m").alias("n")))
+        # Words that only the rows just gained have may be what an open row means.
+        new = strange(gained).select("h").join(gained, "h").groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
+        new = new.join(new.groupBy("token").agg(F.sum("m").alias("n")), "token").select("token", "c", (F.col("m") / F.col("n")).alias("share"))
+        near = cut(near.join(words, "h", "left_semi").unionByName(misspelt(strange(flat), new)))
     raise RuntimeError(f"titles still gain codes after {guard} rounds")
 
 
-def sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: the columns of rows but words, with set_id; sets: set_id, block, code, t (w and h of its tokens, the rarest first), total), both written.
+def members(rows: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(members, statistics(), chance()), both frames written.
 
-    rows: key, block, code, words and any others.  Listings of equal block, code
-    and tokens are one set; listings without a word are in none (set_id null).
+    rows: key, block, code, words and any others, written.  members: the columns
+    of rows with hs (hashes of the words and of the code, stated or completed) in place of words, and set_id, equal for
+    equal block, stated code and tokens; listings without a word have none.
     """
     rows = rows.withColumn("id", F.xxhash64("key"))
     seen = cut(borne(rows))
-    worth = cut(statistics(seen, rows.count()))
-    found = complete(rows, seen)
-    words = F.array_sort(F.when(F.col("line").isNull(), F.col("words")).otherwise(F.array_union("words", F.array("line"))))
-    member = rows.join(found.withColumnRenamed("code", "line"), "id", "left").withColumn("tokens", words)
-    member = member.withColumn("set_id", F.when(F.size("tokens") > 0, F.xxhash64("block", "code", F.array_join("tokens", " "))))
-    member = cut(member.drop("words", "id", "line"))
-    once = member.where("set_id is not null").groupBy("set_id").agg(*[F.first(c).alias(c) for c in ("block", "code", "tokens")])
-    flat = once.select("set_id", "block", "code", F.explode("tokens").alias("token")).join(worth.select("token", "w"), "token").where("w > 0")
-    t = flat.groupBy("set_id", "block", "code").agg(F.sort_array(F.collect_list(F.struct("w", F.xxhash64("token").alias("h"))), asc=False).alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"])
-    return member.drop("tokens"), cut(t.withColumn("total", total))
+    base = chance(seen)
+    stat = cut(statistics(seen, base))
+    found = complete(rows, seen, stat)
+    hashes = token_hash(F.col("words"))
+    coded = rows.where("code <> ''").withColumn("hs", hashes)
+    open_ = rows.where("code = ''").withColumn("hs", hashes).drop("words").join(found, "id", "left").withColumn("hs", F.when(F.col("c").isNull(), F.col("hs")).otherwise(F.array_union("hs", F.array("c"))))
+    out = coded.select(*open_.drop("c").columns).unionByName(open_.drop("c")).withColumn("hs", F.array_sort(F.array_distinct("hs")))
+    out = out.withColumn("set_id", F.when(F.size("hs") > 0, F.xxhash64("block", "code", "hs"))).drop("id")
+    return cut(out), stat, base
+
+
+def weighted(flat: DataFrame, stat: DataFrame, base: float) -> DataFrame:
+    """flat (h and others) with the worth w of each token."""
+    return flat.join(stat.select("h", "w"), "h", "left").withColumn("w", F.coalesce("w", F.lit(fresh(base)).cast("float")))
+
+
+def sets(member: DataFrame, stat: DataFrame, base: float) -> DataFrame:
+    """set_id, block, code, t (w and h of its tokens, the rarest first), total of every set; tokens worth nothing are left out."""
+    flat = member.where("set_id is not null").select("set_id", "block", "code", F.explode("hs").alias("h"))
+    t = weighted(flat, stat, base).where("w > 0").groupBy("set_id", "block", "code").agg(F.sort_array(F.collect_set(F.struct("w", "h")), asc=False).alias("t"))
+    return cut(t.withColumn("total", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"])))
 
 
 def rests(t: str, total: str) -> Column:

@@ -3,10 +3,9 @@
 The records of both systems are nodes of a graph, with the weighted tokens of
 ``lines`` (words, stated and completed model codes) as attributes; records of
 equal variant and attributes are one node.  The candidate graph joins nodes of
-the two systems that have the same variant and share a rare attribute, one that
-weighs at least RARE of the heaviest of its record: rare attributes are chosen
-before the join.  An edge weighs what the common attributes weigh, over the
-weight of the lighter end.
+the two systems that have the same variant and share a rare attribute; rare are
+the tokens that tell most of a product, chosen before the join.  An edge weighs what the
+shared rare attributes weigh, over the weight of the lighter end.
 
 Meta-blocking keeps the edges that are nearly as heavy as the heaviest edge of
 either end.  Then similarity spreads: edges are neighbours if their ends have
@@ -17,29 +16,31 @@ shrinks the moves by PULL, so that the rounds end.
 
 Agreement of brand, price and weight enters the confidence.
 
-Nulls: records without key or title have no attributes and match nothing; a
+Nulls: records without key or title, or with no telling token, match nothing; a
 missing brand, price or weight neither helps nor harms.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.lines import blocks, learn, overlap, parse, sets
+from weft.llm.lines import blocks, learn, members, parse, weighted
 from weft.llm.titles import Lexicon
 from weft.session import cut, table
 
-#: Share of a record's heaviest attribute that a rare one weighs at least.
-RARE = 0.5
+#: Share of the greatest worth that a telling attribute has at least, and share of the records in which a token is frequent.
+TELLING, FREQUENT = 0.35, 0.0005
 #: Share of the heaviest edge of a node that an edge must weigh to be kept.
-KEEP = 0.6
+KEEP = 0.45
 #: Part of a similarity that comes from the neighbouring edges, and the move at which the rounds end.
 PULL, STILL = 0.3, 0.001
 #: Rounds after which a call fails.
 GUARD = 50
 #: Least similarity, and least confidence, of a match.
-LEAST, SURE = 0.4, 0.4
+LEAST, SURE = 0.36, 0.33
 #: Most edits between two codes one of which may be mistyped.
 TYPED = 2
 
@@ -57,20 +58,31 @@ def records(modern: DataFrame, third: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "side", "key").alias("key"), "x.title", "model", "side", F.regexp_replace(F.lower("x.brand"), "[^a-z0-9]+", "").alias("brand"), "price", "weight")
 
 
-def graph(member: DataFrame, found: DataFrame, keep: float = KEEP) -> DataFrame:
+def attributes(member: DataFrame, stat: DataFrame, base: float) -> DataFrame:
+    """set_id, side, block, code, t (w and h of its telling tokens, the rarest first), total; records without one are left out.
+
+    A token that is frequent and not telling is taken out first, by a broadcast
+    of at most 1 / FREQUENT tokens for each word of a title.
+    """
+    telling = TELLING * math.log(1 / base) ** 2
+    rows = member.where("set_id is not null and code <> ''").count()
+    dull = stat.where((F.col("w") < telling) & (F.col("n") >= FREQUENT * F.lit(float(max(1, rows))))).select("h")
+    flat = member.where("set_id is not null").select("set_id", "side", "block", "code", F.explode("hs").alias("h")).join(F.broadcast(dull), "h", "left_anti")
+    t = weighted(flat, stat, base).where(F.col("w") >= telling).groupBy("set_id", "side", "block", "code").agg(F.sort_array(F.collect_set(F.struct("w", "h")), asc=False).alias("t"))
+    return cut(t.withColumn("total", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"])))
+
+
+def graph(found: DataFrame, keep: float = KEEP) -> DataFrame:
     """Edges x (set of side a), y (set of side b), attr (similarity of their attributes), k1, k2 (groups of neighbours), after meta-blocking.
 
-    member: set_id, side; found: set_id, block, code, t, total (``lines.sets``).
+    found: set_id, side, block, code, t, total (``attributes``).
     """
-    sides = member.where("set_id is not null").select("set_id", "side").distinct()
-    rare = found.join(sides, "set_id").select("side", "set_id", "block", F.explode(F.transform(F.filter("t", lambda x: x["w"] >= RARE * F.col("t")[0]["w"]), lambda x: x["h"])).alias("h"))
-    side = lambda s, c: rare.where(F.col("side") == s).select("block", "h", F.col("set_id").alias(c))
-    pairs = side("a", "x").join(side("b", "y"), ["block", "h"]).select("x", "y").distinct()
-    end = lambda c: found.select(F.col("set_id").alias(c), F.col("t").alias(f"t{c}"), F.col("total").alias(f"w{c}"), F.col("code").alias(f"c{c}"))
-    both = pairs.join(end("x"), "x").join(end("y"), "y")
-    typed = (F.col("cx") == "") | (F.col("cy") == "") | (F.levenshtein("cx", "cy") <= TYPED)
-    group = lambda i: F.xxhash64(F.coalesce(F.get("tx", F.lit(i))["h"], F.lit(0)), F.coalesce(F.get("ty", F.lit(i))["h"], F.lit(0)), F.lit(i))
-    edges = cut(both.where(typed).select("x", "y", (overlap("tx", "ty") / F.least("wx", "wy")).alias("attr"), group(0).alias("k1"), group(1).alias("k2")))
+    place = lambda i: F.coalesce(F.get("t", F.lit(i))["h"], F.lit(0)).alias(f"p{i}")
+    flat = found.select("set_id", "side", "block", "code", "total", place(0), place(1), F.explode("t").alias("x")).select("*", "x.h", "x.w").drop("x")
+    side = lambda s, c: flat.where(F.col("side") == s).select("block", "h", F.col("w").alias(f"w{c}"), F.col("set_id").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("code", "total", "p0", "p1")])
+    typed = (F.col("code_x") == "") | (F.col("code_y") == "") | (F.levenshtein("code_x", "code_y") <= TYPED)
+    edges = side("a", "x").join(side("b", "y").drop("wy"), ["block", "h"]).where(typed).select("x", "y", "wx", F.least("total_x", "total_y").alias("least"), F.xxhash64("p0_x", "p0_y").alias("k1"), F.xxhash64("p1_x", "p1_y").alias("k2"))
+    edges = cut(edges.groupBy("x", "y", "least", "k1", "k2").agg(F.sum("wx").alias("shared")).select("x", "y", "k1", "k2", (F.col("shared") / F.col("least")).alias("attr")))
     # Meta-blocking: reciprocal weighted node pruning.
     top = lambda c: edges.groupBy(c).agg(F.max("attr").alias(f"top_{c}"))
     return cut(edges.join(top("x"), "x").join(top("y"), "y").where((F.col("attr") >= keep * F.col("top_x")) & (F.col("attr") >= keep * F.col("top_y"))).drop("top_x", "top_y"))
@@ -95,8 +107,8 @@ def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, l
     """asin, item_code, confidence of every matching pair."""
     if lexicon is None:
         lexicon = learn(modern.select("title").unionByName(third.select(F.col("item_name").alias("title"))))
-    member, found = sets(cut(blocks(cut(parse(records(modern, third), lexicon, ("side", "brand", "price", "weight"))))))
-    edges = spread(graph(member, found)).where(F.col("sim") >= least)
+    member, stat, base = members(cut(blocks(cut(parse(records(modern, third), lexicon, ("side", "brand", "price", "weight"))))))
+    edges = spread(graph(attributes(member, stat, base))).where(F.col("sim") >= least)
     end = lambda s, c: member.where(F.col("side") == s).select(F.col("set_id").alias(c), F.substring("key", 3, 1 << 20).alias(f"key_{s}"), *[F.col(v).alias(f"{v}_{s}") for v in ("brand", "price", "weight")])
     both = end("a", "x").join(edges, "x").join(end("b", "y"), "y")
     close = lambda c, scale: F.coalesce(F.exp(-F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) / scale), F.lit(0.5))

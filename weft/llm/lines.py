@@ -19,10 +19,12 @@ Nulls: listings without key or title are left out.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from weft.llm.titles import Lexicon, Parser
 from weft.session import cut
 
-PARSED = "key string, variant string, code string, dims array<string>, words array<string>"
+PARSED = "key string, variant string, code string, c long, dims array<string>, sizes array<double>, words array<string>, hs array<long>"
 #: Dimensions that count and are compared exactly.
 COUNTS = ("n", "shoe")
 #: Values further apart than this ratio are different variants.
@@ -56,7 +58,8 @@ def learn(titles: DataFrame, frequent: float = FREQUENT) -> Lexicon:
     phrase = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9'])(?:for|small|medium|large)[^a-z0-9]+[a-z]+|[a-z]+ flavou?r(?![a-z])"), F.lit(0))
     n = titles.count()
     least = max(3.0, frequent * n)
-    seen = titles.select(F.explode(phrase).alias("p")).select(F.regexp_replace("p", "[^a-z]+", " ").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(least if n else 1.0) / 4).collect()
+    cue = low.contains("flavo") | low.contains("small") | low.contains("medium") | low.contains("large") | low.contains("for ")
+    seen = titles.where(cue).select(F.explode(phrase).alias("p")).select(F.regexp_replace("p", "[^a-z]+", " ").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(least if n else 1.0) / 4).collect()
     pairs = {tuple(r["p"].split(" ")): r["n"] for r in seen if r["p"].count(" ") == 1}
     stock = frozenset(b for (a, b), k in pairs.items() if a == "for" and k >= least)
     flavours = frozenset(a for (a, b) in pairs if b in ("flavour", "flavor"))
@@ -64,7 +67,8 @@ def learn(titles: DataFrame, frequent: float = FREQUENT) -> Lexicon:
     compounds = frozenset()
     if close:
         words = "|".join(sorted({b for _, b in close}))
-        every = titles.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![a-z])(?:{words})(?![a-z])"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
+        any_ = functools.reduce(lambda a, b: a | b, [low.contains(w) for w in sorted({b for _, b in close})])
+        every = titles.where(any_).select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![a-z])(?:{words})(?![a-z])"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
         total = {r["w"]: r["n"] for r in every}
         compounds = frozenset(p for p, k in close.items() if k >= BOUND * total.get(p[1], k))
     return Lexicon(compounds=compounds, stock=stock, flavours=flavours)
@@ -75,20 +79,30 @@ def parse(listings: DataFrame, lexicon: Lexicon | None = None, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(lexicon)
+        known: dict[str, int] = {}
+
+        def hashed(w: str) -> int:
+            h = known.get(w)
+            if h is None:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+                h = h - (1 << 64) if h >= 1 << 63 else h
+                if len(known) < 500_000:
+                    known[w] = h
+            return h
+
+        texts, longs, doubles = pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64())
+        kinds = [pa.string(), pa.string(), pa.int64(), texts, doubles, texts, longs]
         for b in batches:
-            variants, codes, dims, words = [], [], [], []
+            rows = []
             for title, model in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 acc, code, names, d, w = parser.parse(title)
                 if not code and model:
                     code = model.lower().replace("-", "").replace(" ", "")
                     if code not in w:
                         w.append(code)
-                variants.append(f"{acc}/{' '.join(names)}" if acc or names else "")
-                codes.append(code)
-                dims.append(d)
-                words.append(w)
-            texts = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(variants, pa.string()), pa.array(codes, pa.string()), pa.array(dims, texts), pa.array(words, texts), *[b.column(3 + i) for i in range(len(keep))]], names=["key", "variant", "code", "dims", "words", *keep])
+                rows.append((f"{acc}/{' '.join(names)}" if acc or names else "", code, hashed(code), [x for x, _ in d], [v for _, v in d], w, sorted(set(map(hashed, w)))))
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(columns, kinds)], *[b.column(3 + i) for i in range(len(keep))]], names=["key", "variant", "code", "c", "dims", "sizes", "words", "hs", *keep])
 
     of = dict(listings.dtypes)
     return listings.select("key", "title", "model", *keep).mapInArrow(run, ", ".join([PARSED, *[f"{c} {of[c]}" for c in keep]]))
@@ -100,7 +114,7 @@ def cuts(parsed: DataFrame) -> dict[str, list[float]]:
     There are at most 53 gaps to a decade, so the result is small whatever the
     number of rows.
     """
-    v = parsed.select(F.explode("dims").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).select(F.split("x", "=")[0].alias("d"), F.split("x", "=")[1].cast("double").alias("v")).where(~F.col("d").isin(*COUNTS) & (F.col("v") > 0))
+    v = parsed.select(F.explode(F.arrays_zip("dims", "sizes")).alias("x")).select(F.col("x.dims").alias("d"), F.col("x.sizes").alias("v")).groupBy("d", "v").agg(F.count(F.lit(1)).alias("n")).where(~F.col("d").isin(*COUNTS) & (F.col("v") > 0))
     v = v.groupBy("d", F.expr("round(v / pow(10, floor(log10(v)) - 2)) * pow(10, floor(log10(v)) - 2)").alias("v")).count()
     gaps = v.withColumn("p", F.lag("v").over(W.partitionBy("d").orderBy("v"))).where(F.col("v") > F.col("p") * SAME)
     out: dict[str, list[float]] = {}
@@ -109,29 +123,31 @@ def cuts(parsed: DataFrame) -> dict[str, list[float]]:
     return out
 
 
+def place(value: Column, at: list[float], low: int = 0) -> Column:
+    """How many of the sorted numbers at are no greater than the value, by halving."""
+    if not at:
+        return F.lit(low)
+    i = len(at) // 2
+    return F.when(value < at[i], place(value, at[:i], low)).otherwise(place(value, at[i + 1 :], low + i + 1))
+
+
 def blocks(parsed: DataFrame) -> DataFrame:
-    """variant and dims become block (a hash), equal for listings of one accessory kind and variant."""
+    """variant, dims and sizes become block (a hash), equal for listings of one accessory kind and variant."""
     at = cuts(parsed)
 
-    def token(x: Column) -> Column:
-        name, value = F.split(x, "=")[0], F.split(x, "=")[1].cast("double")
-        out = F.when(name.isin(*COUNTS), x)
+    def token(name: Column, value: Column) -> Column:
+        out = F.when(name.isin(*COUNTS), F.concat(name, value.cast("string")))
         for d, cs in sorted(at.items()):
-            out = out.when(name == d, F.concat(name, F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]), lambda c: c <= value)).cast("string")))
+            out = out.when(name == d, F.concat(name, place(value, [float(c) for c in cs]).cast("string")))
         return out.otherwise(F.concat(name, F.lit("0")))
 
-    block = F.when((F.col("variant") == "") & (F.size("dims") == 0), F.lit(0)).otherwise(F.xxhash64("variant", F.array_join(F.array_sort(F.array_distinct(F.transform("dims", token))), " ")))
-    return parsed.withColumn("block", block).drop("variant", "dims")
-
-
-def token_hash(words: Column) -> Column:
-    """The hashes of an array of tokens, which stand for them from here on."""
-    return F.transform(words, lambda w: F.xxhash64(w))
+    block = F.when((F.col("variant") == "") & (F.size("dims") == 0), F.lit(0)).otherwise(F.xxhash64("variant", F.array_sort(F.array_distinct(F.zip_with("dims", "sizes", token)))))
+    return parsed.withColumn("block", block).drop("variant", "dims", "sizes")
 
 
 def borne(rows: DataFrame) -> DataFrame:
     """h, c, m: how many of the rows that state the code (c, its hash) have the token (h)."""
-    return rows.where("code <> ''").select(F.xxhash64("code").alias("c"), F.explode(token_hash(F.col("words"))).alias("h")).groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
+    return rows.where("code <> ''").select("c", F.explode("hs").alias("h")).groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
 
 
 def chance(seen: DataFrame) -> float:
@@ -168,11 +184,11 @@ def misspelt(unknown: DataFrame, stands: DataFrame) -> DataFrame:
     less = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.lit(1 << 20))))))
     word = lambda c: F.col(c).rlike("^[a-z]{4,}$")
     a = unknown.where(word("token")).select("token", "h", F.explode(less("token")).alias("d"))
-    b = stands.where(word("token")).select(F.col("token").alias("meant"), "c", "share").select("meant", "c", "share", F.explode(less("meant")).alias("d"))
+    b = stands.where(word("token")).select(F.col("token").alias("meant")).distinct().select("meant", F.explode(less("meant")).alias("d"))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     edits = F.levenshtein("token", "meant", 2)
-    near = a.join(b, "d").where((edits == 1) | ((edits == 2) & (F.length("token") == F.length("meant")) & (letters("token") == letters("meant"))))
-    return near.groupBy("h", "c").agg((F.max("share") * OFF).alias("share"))
+    near = a.join(b, "d").where((edits == 1) | ((edits == 2) & (F.length("token") == F.length("meant")) & (letters("token") == letters("meant")))).select("h", "meant").distinct()
+    return near.join(stands.withColumnRenamed("token", "meant"), "meant").groupBy("h", "c").agg((F.max("share") * OFF).alias("share"))
 
 
 def speaking(seen: DataFrame, n: DataFrame) -> DataFrame:
@@ -192,10 +208,12 @@ def complete(rows: DataFrame, seen: DataFrame, stat: DataFrame, guard: int = GUA
     """id, c (hash of a code) of every row without a code that gains one.
 
     rows: id, code, words; seen, stat: their borne() counts and statistics(), written.  What a round
-    gives speaks in the next, for the rows still open; of the counts, only those of their words are kept.
+    gives speaks in the next, for the rows still open; of the counts, only those of their words are kept
+    that speak, or that no row with a stated code has.
     Every round but the last gives a row a code, so that the rounds end; should they reach guard before,
     the call fails rather than leave codes out.
     """
+    # The hash of the parser is Spark's.
     token = lambda d: d.select("*", F.explode("words").alias("token")).withColumn("h", F.xxhash64("token"))
     flat = cut(token(rows.where("code = ''").select("id", "words")).select("id", "token", "h"))
     stands = cut(speaking(seen, stat))
@@ -210,7 +228,7 @@ def complete(rows: DataFrame, seen: DataFrame, stat: DataFrame, guard: int = GUA
         out = best if out is None else out.unionByName(best)
         gained = cut(flat.join(best, "id").select("token", "h", "c"))
         flat = cut(flat.join(best, "id", "left_anti"))
-        words = flat.select("h").distinct()
+        words = cut(flat.select("h").distinct().join(stat.select("h"), "h", "left_anti").unionByName(flat.select("h").join(stands.select("h"), "h", "left_semi").distinct()))
         more = gained.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"))
         seen = cut(seen.unionByName(more).join(words, "h", "left_semi").groupBy("h", "c").agg(F.sum("m").alias("m")))
         stands = speaking(seen, seen.groupBy("h").agg(F.sum("m").alias("n")))
@@ -224,8 +242,8 @@ def complete(rows: DataFrame, seen: DataFrame, stat: DataFrame, guard: int = GUA
 def members(rows: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     """(members, statistics(), chance()), both frames written.
 
-    rows: key, block, code, words and any others, written.  members: the columns
-    of rows with hs (hashes of the words and of the code, stated or completed) in place of words, and set_id, equal for
+    rows: parse() with block and any others, parse() written.  members: key, block, code, hs (sorted
+    hashes of the words and of the code, stated or completed), any others, and set_id, equal for
     equal block, stated code and tokens; listings without a word have none.
     """
     rows = rows.withColumn("id", F.xxhash64("key"))
@@ -233,10 +251,9 @@ def members(rows: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     base = chance(seen)
     stat = cut(statistics(seen, base))
     found = complete(rows, seen, stat)
-    hashes = token_hash(F.col("words"))
-    coded = rows.where("code <> ''").withColumn("hs", hashes)
-    open_ = rows.where("code = ''").withColumn("hs", hashes).drop("words").join(found, "id", "left").withColumn("hs", F.when(F.col("c").isNull(), F.col("hs")).otherwise(F.array_union("hs", F.array("c"))))
-    out = coded.select(*open_.drop("c").columns).unionByName(open_.drop("c")).withColumn("hs", F.array_sort(F.array_distinct("hs")))
+    rows = rows.drop("c", "words")
+    open_ = rows.where("code = ''").join(found, "id", "left").withColumn("hs", F.when(F.col("c").isNull(), F.col("hs")).otherwise(F.array_sort(F.array_union("hs", F.array("c"))))).drop("c")
+    out = rows.where("code <> ''").unionByName(open_)
     out = out.withColumn("set_id", F.when(F.size("hs") > 0, F.xxhash64("block", "code", "hs"))).drop("id")
     return cut(out), stat, base
 

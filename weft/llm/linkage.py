@@ -107,7 +107,7 @@ def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, l
     """asin, item_code, confidence of every matching pair."""
     if lexicon is None:
         lexicon = learn(modern.select("title").unionByName(third.select(F.col("item_name").alias("title"))))
-    member, stat, base = members(cut(blocks(cut(parse(records(modern, third), lexicon, ("side", "brand", "price", "weight"))))))
+    member, stat, base = members(blocks(cut(parse(records(modern, third), lexicon, ("side", "brand", "price", "weight")))))
     edges = spread(graph(attributes(member, stat, base))).where(F.col("sim") >= least)
     end = lambda s, c: member.where(F.col("side") == s).select(F.col("set_id").alias(c), F.substring("key", 3, 1 << 20).alias(f"key_{s}"), *[F.col(v).alias(f"{v}_{s}") for v in ("brand", "price", "weight")])
     both = end("a", "x").join(edges, "x").join(end("b", "y"), "y")

@@ -2,7 +2,7 @@
 
 A title is split into
   acc    kind of accessory sold ("case", "part", "lid", "cover"), or ""
-  dims   stated numbers as "dimension=value in base units"
+  dims   stated numbers as (dimension, value in base units)
   names  stated colours, letter sizes and flavours
   words  all other words, model codes among them (code is the first of these)
 Nothing here knows the articles, brands or advertisements of a catalogue: what
@@ -156,7 +156,7 @@ class Parser:
             self.looks[t] = k
         return k
 
-    def parse(self, title: str | None) -> tuple[str, str, list[str], list[str], list[str]]:
+    def parse(self, title: str | None) -> tuple[str, str, list[str], list[tuple], list[str]]:
         """(acc, code, names, dims, words) of a title."""
         toks = TOKEN.findall(plain(title))
         toks.append("")
@@ -201,7 +201,7 @@ class Parser:
                     words.append(t)
                 else:
                     names.append(self.size[t])
-        return acc, code, sorted(set(names)), sorted({f"{d}={v:.5g}" for d, v in dims if v}), [w for w in dict.fromkeys(words) if w not in STOP]
+        return acc, code, sorted(set(names)), sorted({(d, float(f"{v:.5g}")) for d, v in dims if v}), [w for w in dict.fromkeys(words) if w not in STOP]
 
     def _number(self, toks: list[str], i: int, words: list[str], dims: list[tuple], code: str) -> tuple[int, str]:
         """Takes the number at i into dims, or into words as part of a code; (tokens to skip, code)."""

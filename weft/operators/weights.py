@@ -106,7 +106,9 @@ def judged(rows: DataFrame, stated: DataFrame, tolerance: float = TOLERANCE) ->
     elsewhere that state their unit.
     -> table_name, row_no, unit, kg (null where there is no weight).
     """
-    rows = cut(rows)
+    # One title of each listing, as hashes of its tokens; the rows themselves go on without.
+    titles = rows.where("key is not null and title is not null").groupBy("key").agg(F.min("title").alias("title")).select("key", F.transform(tokens(F.col("title")), lambda t: F.xxhash64(t)).alias("ts"))
+    rows = cut(rows.drop("title"))
     good = rows.where("v > 0 and unit is not null and key is not null")
     by_text = good.where("unit <> ''").select("key", in_kg(F.col("v"), F.col("unit")).alias("kg")).unionByName(stated.where("kg > 0 and key is not null").select("key", "kg"))
     strong = by_text.where("kg > 0").groupBy("key").agg(F.avg(F.log("kg")).alias("strong"), F.stddev_pop(F.log("kg")).alias("sd"))
@@ -121,9 +123,8 @@ def judged(rows: DataFrame, stated: DataFrame, tolerance: float = TOLERANCE) ->
     bare = bare.select("key", "n", votes.alias("c")).select("key", "c.x", (F.col("n") * F.col("c.w")).alias("w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
     place = bare.groupBy("key", "grid", F.floor(F.col("x") / 0.2 + 0.5 * F.col("grid")).alias("p")).agg(F.sum("w").alias("w"), F.avg("x").alias("x"))
     weak = place.groupBy("key").agg(F.max_by("x", F.struct("w", (-F.col("x")).alias("o"))).alias("weak"))
-    titles = rows.where("key is not null and title is not null").groupBy("key").agg(F.min("title").alias("title"))
     known = cut(weak.join(strong, "key", "full").join(titles, "key", "full"))
-    flat = known.where("title is not null").select("key", "strong", F.coalesce("strong", "weak").alias("x"), F.explode(tokens(F.col("title"))).alias("t")).select("key", "strong", "x", F.xxhash64("t").alias("t"))
+    flat = known.select("key", "strong", F.coalesce("strong", "weak").alias("x"), F.explode("ts").alias("t"))
     q = F.percentile_approx("x", [0.25, 0.5, 0.75], 1000)
     agreed = flat.where("x is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).where((F.col("n") >= PEERS) & (F.col("q")[2] - F.col("q")[0] <= SPREAD)).select("t", "n", F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("wide"))
     line = flat.where("strong is null").join(agreed, "t").groupBy("key").agg(F.max_by("mid", F.struct(F.least("n", F.lit(20)), -F.col("wide"), "t")).alias("line"))

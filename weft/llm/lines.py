@@ -45,6 +45,8 @@ BOUND = 0.9
 SPEAKS, ACCEPT, LEAD = 0.1, 0.5, 0.2
 #: What the share of a word one letter off counts.
 OFF = 0.8
+#: Share of the coded rows in which a token is common.
+COMMON = 0.0005
 #: Rounds of completion after which a call fails.
 GUARD = 100
 
@@ -158,7 +160,7 @@ def chance(seen: DataFrame) -> float:
 
 
 def statistics(seen: DataFrame, base: float) -> DataFrame:
-    """h, n (coded rows that have the token), w (its worth).
+    """h, n (coded rows that have the token), w (its worth), purity (share of the pairs of its rows that have one code).
 
     The worth is the squared logarithm of how much likelier two rows that share
     the token are to have one code than any two rows (base).  A token of one row
@@ -167,7 +169,7 @@ def statistics(seen: DataFrame, base: float) -> DataFrame:
     n = F.col("n")
     s = seen.groupBy("h").agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1)).alias("together"))
     lift = F.greatest(F.lit(0.0), F.log((F.col("together") + 0.5) / (n * (n - 1) + 1) / base))
-    return s.select("h", "n", (lift * lift).cast("float").alias("w"))
+    return s.select("h", "n", (lift * lift).cast("float").alias("w"), ((F.col("together") + 0.0) / F.greatest(n * (n - 1), F.lit(1))).cast("float").alias("purity"))
 
 
 def fresh(base: float) -> float:
@@ -175,8 +177,8 @@ def fresh(base: float) -> float:
     return max(0.0, math.log(0.5 / base)) ** 2
 
 
-def misspelt(unknown: DataFrame, stands: DataFrame) -> DataFrame:
-    """h, c, share for the unknown words (token, h): what the words one letter off (one swap counts) stand for; stands: token, c, share.
+def misspelt(unknown: DataFrame, known: DataFrame, stands: DataFrame) -> DataFrame:
+    """h, c, share for the unknown words (token, h): what the known words (token, h) one letter off (one swap counts) stand for; stands: h, c, share.
 
     Both sides are joined on what is left of a word without one of its letters,
     which finds every such pair.
@@ -184,11 +186,11 @@ def misspelt(unknown: DataFrame, stands: DataFrame) -> DataFrame:
     less = lambda c: F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.lit(1 << 20))))))
     word = lambda c: F.col(c).rlike("^[a-z]{4,}$")
     a = unknown.where(word("token")).select("token", "h", F.explode(less("token")).alias("d"))
-    b = stands.where(word("token")).select(F.col("token").alias("meant")).distinct().select("meant", F.explode(less("meant")).alias("d"))
+    b = known.where(word("token")).select(F.col("token").alias("meant"), F.col("h").alias("m"), F.explode(less("token")).alias("d"))
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     edits = F.levenshtein("token", "meant", 2)
-    near = a.join(b, "d").where((edits == 1) | ((edits == 2) & (F.length("token") == F.length("meant")) & (letters("token") == letters("meant")))).select("h", "meant").distinct()
-    return near.join(stands.withColumnRenamed("token", "meant"), "meant").groupBy("h", "c").agg((F.max("share") * OFF).alias("share"))
+    near = a.join(b, "d").where((edits == 1) | ((edits == 2) & (F.length("token") == F.length("meant")) & (letters("token") == letters("meant")))).select(F.col("h").alias("of"), F.col("m").alias("h")).distinct()
+    return near.join(stands, "h").groupBy(F.col("of").alias("h"), "c").agg((F.max("share") * OFF).alias("share"))
 
 
 def speaking(seen: DataFrame, n: DataFrame) -> DataFrame:
@@ -204,6 +206,14 @@ def votes(flat: DataFrame, stands: DataFrame) -> DataFrame:
     return best.where((F.col("b")[0]["s"] >= ACCEPT) & (F.col("b")[0]["s"] - F.coalesce(F.get("b", F.lit(1))["s"], F.lit(0.0)) >= LEAD)).select("id", F.col("b")[0]["c"].alias("c"))
 
 
+def silent(stat: DataFrame, rows: int) -> DataFrame:
+    """h of the frequent tokens that speak for no code: a share of SPEAKS of its rows makes a token's purity its square.
+
+    At most 1 / COMMON tokens for each word of a title are that frequent, so that they may be broadcast.
+    """
+    return stat.where((F.col("n") >= max(2.0, COMMON * rows)) & (F.col("purity") < 0.5 * SPEAKS * SPEAKS)).select("h")
+
+
 def complete(rows: DataFrame, seen: DataFrame, stat: DataFrame, guard: int = GUARD) -> DataFrame:
     """id, c (hash of a code) of every row without a code that gains one.
 
@@ -214,12 +224,13 @@ def complete(rows: DataFrame, seen: DataFrame, stat: DataFrame, guard: int = GUA
     the call fails rather than leave codes out.
     """
     # The hash of the parser is Spark's.
+    quiet = silent(stat, rows.where("code <> ''").count())
     token = lambda d: d.select("*", F.explode("words").alias("token")).withColumn("h", F.xxhash64("token"))
-    flat = cut(token(rows.where("code = ''").select("id", "words")).select("id", "token", "h"))
-    stands = cut(speaking(seen, stat))
-    strange = lambda f: f.select("token", "h").distinct().join(stat, "h", "left_anti")
-    known = token(rows.where("code <> ''").select("words")).select("token", "h").distinct().join(stands, "h").select("token", "c", "share")
-    near = cut(misspelt(strange(flat), known))
+    flat = cut(token(rows.where("code = ''").select("id", "words")).select("id", "token", "h").join(F.broadcast(quiet), "h", "left_anti"))
+    stands = cut(speaking(seen.join(F.broadcast(quiet), "h", "left_anti"), stat))
+    strange = lambda f: f.select("token", "h").distinct().join(stat.select("h"), "h", "left_anti")
+    known = token(rows.where("code <> ''").select("words")).join(F.broadcast(quiet), "h", "left_anti").select("token", "h").distinct()
+    near = cut(misspelt(strange(flat), known, stands))
     out = None
     for _ in range(guard):
         best = cut(votes(flat, stands.unionByName(near)))
@@ -233,9 +244,9 @@ def complete(rows: DataFrame, seen: DataFrame, stat: DataFrame, guard: int = GUA
         seen = cut(seen.unionByName(more).join(words, "h", "left_semi").groupBy("h", "c").agg(F.sum("m").alias("m")))
         stands = speaking(seen, seen.groupBy("h").agg(F.sum("m").alias("n")))
         # Words that only the rows just gained have may be what an open row means.
-        new = strange(gained).select("h").join(gained, "h").groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
-        new = new.join(new.groupBy("token").agg(F.sum("m").alias("n")), "token").select("token", "c", (F.col("m") / F.col("n")).alias("share"))
-        near = cut(near.join(words, "h", "left_semi").unionByName(misspelt(strange(flat), new)))
+        new = gained.join(stat.select("h"), "h", "left_anti").groupBy("token", "h", "c").agg(F.count(F.lit(1)).alias("m"))
+        fresh_ = new.join(new.groupBy("h").agg(F.sum("m").alias("n")), "h").select("h", "c", (F.col("m") / F.col("n")).alias("share"))
+        near = cut(near.join(words, "h", "left_semi").unionByName(misspelt(strange(flat), new.select("token", "h").distinct(), fresh_)))
     raise RuntimeError(f"titles still gain codes after {guard} rounds")
 
 

@@ -59,29 +59,28 @@ def records(modern: DataFrame, third: DataFrame) -> DataFrame:
 
 
 def attributes(member: DataFrame, stat: DataFrame, base: float) -> DataFrame:
-    """set_id, side, block, code, t (w and h of its telling tokens, the rarest first), total; records without one are left out.
+    """node, block, t (w and h of its telling tokens, the rarest first), total; records without one are left out.
 
     A token that is frequent and not telling is taken out first, by a broadcast
     of at most 1 / FREQUENT tokens for each word of a title.
     """
     telling = TELLING * math.log(1 / base) ** 2
-    rows = member.where("set_id is not null and code <> ''").count()
+    rows = member.where("node is not null and code <> ''").count()
     dull = stat.where((F.col("w") < telling) & (F.col("n") >= FREQUENT * F.lit(float(max(1, rows))))).select("h")
-    flat = member.where("set_id is not null").select("set_id", "side", "block", "code", F.explode("hs").alias("h")).join(F.broadcast(dull), "h", "left_anti")
-    t = weighted(flat, stat, base).where(F.col("w") >= telling).groupBy("set_id", "side", "block", "code").agg(F.sort_array(F.collect_set(F.struct("w", "h")), asc=False).alias("t"))
+    flat = member.where("node is not null").select("node", "block", F.explode("hs").alias("h")).join(F.broadcast(dull), "h", "left_anti")
+    t = weighted(flat, stat, base).where(F.col("w") >= telling).groupBy("node", "block").agg(F.sort_array(F.collect_set(F.struct("w", "h")), asc=False).alias("t"))
     return cut(t.withColumn("total", F.aggregate("t", F.lit(0.0), lambda a, x: a + x["w"])))
 
 
 def graph(found: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Edges x (set of side a), y (set of side b), attr (similarity of their attributes), k1, k2 (groups of neighbours), after meta-blocking.
+    """Edges x (node of side a), y (node of side b), attr (similarity of their attributes), k1, k2 (groups of neighbours), after meta-blocking.
 
-    found: set_id, side, block, code, t, total (``attributes``).
+    found: node (zero or more: side a), block, t, total (``attributes``).
     """
     place = lambda i: F.coalesce(F.get("t", F.lit(i))["h"], F.lit(0)).alias(f"p{i}")
-    flat = found.select("set_id", "side", "block", "code", "total", place(0), place(1), F.explode("t").alias("x")).select("*", "x.h", "x.w").drop("x")
-    side = lambda s, c: flat.where(F.col("side") == s).select("block", "h", F.col("w").alias(f"w{c}"), F.col("set_id").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("code", "total", "p0", "p1")])
-    typed = (F.col("code_x") == "") | (F.col("code_y") == "") | (F.levenshtein("code_x", "code_y") <= TYPED)
-    edges = side("a", "x").join(side("b", "y").drop("wy"), ["block", "h"]).where(typed).select("x", "y", "wx", F.least("total_x", "total_y").alias("least"), F.xxhash64("p0_x", "p0_y").alias("k1"), F.xxhash64("p1_x", "p1_y").alias("k2"))
+    flat = found.select("node", F.col("total").cast("float").alias("total"), "block", place(0), place(1), F.explode("t").alias("x")).select("node", "total", "p0", "p1", F.xxhash64("block", "x.h").alias("h"), "x.w")
+    side = lambda d, c: d.select("h", F.col("w").alias(f"w{c}"), F.col("node").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("total", "p0", "p1")])
+    edges = side(flat.where("node >= 0"), "x").join(side(flat.where("node < 0"), "y").drop("wy"), "h").select("x", "y", "wx", F.least("total_x", "total_y").alias("least"), F.xxhash64("p0_x", "p0_y").alias("k1"), F.xxhash64("p1_x", "p1_y").alias("k2"))
     edges = cut(edges.groupBy("x", "y", "least", "k1", "k2").agg(F.sum("wx").alias("shared")).select("x", "y", "k1", "k2", (F.col("shared") / F.col("least")).alias("attr")))
     # Meta-blocking: reciprocal weighted node pruning.
     top = lambda c: edges.groupBy(c).agg(F.max("attr").alias(f"top_{c}"))
@@ -108,9 +107,14 @@ def links(modern: DataFrame, third: DataFrame, lexicon: Lexicon | None = None, l
     if lexicon is None:
         lexicon = learn(modern.select("title").unionByName(third.select(F.col("item_name").alias("title"))))
     member, stat, base = members(blocks(cut(parse(records(modern, third), lexicon, ("side", "brand", "price", "weight")))))
+    # A node's sign tells its side.
+    half = F.shiftrightunsigned("set_id", 1)
+    member = member.withColumn("node", F.when(F.col("side") == "a", half).otherwise(-half - 1))
     edges = spread(graph(attributes(member, stat, base))).where(F.col("sim") >= least)
-    end = lambda s, c: member.where(F.col("side") == s).select(F.col("set_id").alias(c), F.substring("key", 3, 1 << 20).alias(f"key_{s}"), *[F.col(v).alias(f"{v}_{s}") for v in ("brand", "price", "weight")])
-    both = end("a", "x").join(edges, "x").join(end("b", "y"), "y")
+    end = lambda s, c: member.where(F.col("side") == s).select(F.col("node").alias(c), F.substring("key", 3, 1 << 20).alias(f"key_{s}"), *[F.col(v).alias(f"{v}_{s}") for v in ("code", "brand", "price", "weight")])
+    # Two stated codes that differ by more than a slip are different products, whatever else they share.
+    typed = (F.col("code_a") == "") | (F.col("code_b") == "") | (F.levenshtein("code_a", "code_b") <= TYPED)
+    both = end("a", "x").join(edges, "x").join(end("b", "y"), "y").where(typed)
     close = lambda c, scale: F.coalesce(F.exp(-F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) / scale), F.lit(0.5))
     brand = F.when(F.col("brand_a").isNull() | F.col("brand_b").isNull(), 0.5).when((F.levenshtein("brand_a", "brand_b") <= 2) | F.contains("brand_a", "brand_b") | F.contains("brand_b", "brand_a"), 1.0).otherwise(0.3)
     confidence = F.round(0.7 * F.col("sim") + 0.1 * close("price", 0.5) + 0.1 * close("weight", 0.3) + 0.1 * brand, 4)

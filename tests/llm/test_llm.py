@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weft.llm import canonical, encoding, linkage, mixing, reading, same_product, stars, survivors
-from weft.llm.lines import lines, listings
-from weft.llm.titles import Parser, agree, near, plain
+from weft.llm import lines
+from weft.llm.lines import listings
+from weft.llm.titles import Lexicon, Parser, near, plain
 from weft.session import table
 
 T0 = datetime(2025, 1, 1)
@@ -32,20 +33,37 @@ T0 = datetime(2025, 1, 1)
 )
 def test_titles_agree(a, b):
     p = Parser()
-    x, y = p.parse(a), p.parse(b)
-    assert (x["article"], x["names"], x["codes"]) == (y["article"], y["names"], y["codes"])
-    assert x["article"] and agree(x["dims"], y["dims"]) and [d for d, _ in x["dims"]] == [d for d, _ in y["dims"]]
+    (acc, code, names, dims, words), (acc2, code2, names2, dims2, words2) = p.parse(a), p.parse(b)
+    assert (acc, code, names) == (acc2, code2, names2) and (names or dims)
+    assert [d for d, _ in dims] == [d for d, _ in dims2] and all(max(x, y) <= lines.SAME * min(x, y) for (_, x), (_, y) in zip(dims, dims2))
 
 
 def test_titles_differ():
-    p = Parser()
-    assert p.parse("Carry Case for Acme Riven Fetili Yoga Mat rd.")["acc"] == "case"
-    assert not agree(p.parse("Yoga Mat 10 ft")["dims"], p.parse("Yoga Mat 15 ft")["dims"])
-    for t in (None, "", "   ", "\u0000", "x" * 100_000, "1 2 3 " * 5000):
-        assert p.parse(t)["article"] == ""
+    p = Parser(Lexicon(stock=frozenset({"men"}), compounds=frozenset({("small", "guitar")}), flavours=frozenset({"vanilla"})))
+    assert p.parse("Carry Case for Acme Riven Fetili Yoga Mat rd.")[0] == "case"
+    assert p.parse("Mat for Men Women Kids")[0] == ""
+    assert p.parse("Small Guitar")[2] == [] and p.parse("Small Mat vanil")[2] == ["f:vanilla", "s:s"]
+    assert p.parse("Yoga Mat 10 ft")[3] != p.parse("Yoga Mat 15 ft")[3]
+    assert p.parse("Mat 100% Sale ABC 1234 Pack of 2")[1:4] == ("abc1234", [], [("n", 2.0)])
+    for t in (None, "", "   ", "\u0000", "1 2 3 " * 5000):
+        assert p.parse(t) == ("", "", [], [], [])
+    assert p.parse("x" * 100_000)[4] == ["x" * 100_000]
     assert plain("CafÃ© &amp; Bar") == "cafe & bar"
 
 
+def test_hash_of_the_parser_is_sparks(spark):
+    df = spark.createDataFrame([("K", "Acme ABC-1234 größe 5 ft", None), ("L", "", None)], "key string, title string, model string")
+    got = lines.parse(df).withColumn("same", F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))).collect()
+    assert all(r["same"] == r["hs"] for r in got) and [r["code"] for r in got] == ["abc1234", ""]
+
+
+def test_learned_lexicon(spark):
+    titles = ["Mat for Men Women"] * 5 + ["Small Guitar red"] * 5 + ["Small red tee", "Vanilla Flavour Shake", None, ""] * 2
+    lex = lines.learn(spark.createDataFrame([(t,) for t in titles], "title string"))
+    assert lex.stock == {"men"} and lex.flavours == {"vanilla"} and lex.compounds == {("small", "guitar")}
+    assert lines.learn(spark.createDataFrame([], "title string")) == Lexicon()
+
+
 @given(st.text("abcd", max_size=7), st.text("abcd", max_size=7))
 @settings(max_examples=200)
 def test_near_is_symmetric(a, b):
@@ -56,33 +74,34 @@ def test_near_is_symmetric(a, b):
 
 
 def brute(sets, threshold):
-    from collections import Counter
-    from math import log
-
-    df = Counter(t for _, _, ts in sets for t in ts)
-    w = {t: log(len(sets) / n) + 1 for t, n in df.items()}
     out = {}
     for i, (a, ba, ta) in enumerate(sets):
         for b, bb, tb in sets[i + 1 :]:
-            if ba == bb:
-                s = sum(w[t] for t in set(ta) & set(tb)) / min(sum(w[t] for t in ta), sum(w[t] for t in tb))
+            if ba == bb and ta and tb:
+                s = sum(w for h, w in ta.items() if h in tb) / min(sum(ta.values()), sum(tb.values()))
                 if s >= threshold - 1e-9:
-                    out[tuple(sorted((a, b)))] = round(s, 6)
+                    out[tuple(sorted((a, b)))] = round(s, 5)
     return out
 
 
-@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.55), (2, 0.7), (3, 0.9)])
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.42), (2, 0.7), (3, 0.9)])
 def test_join_is_exact(spark, seed, threshold):
     r = random.Random(seed)
-    sets = [(i, r.choice("xy"), sorted({f"t{min(int(r.expovariate(0.15)), 30)}" for _ in range(r.randrange(1, 7))})) for i in range(120)]
-    got = same_product.similar_sets(spark.createDataFrame(sets, "set_id long, block string, tokens array<string>"), threshold)
-    assert {(x["a"], x["b"]): round(x["sim"], 6) for x in got.collect()} == brute(sets, threshold)
+    worth = {h: float(r.randrange(1, 80)) for h in range(31)}
+    sets = [(i, r.randrange(2), {h: worth[h] for h in {min(int(r.expovariate(0.15)), 30) for _ in range(r.randrange(0, 7))}}) for i in range(120)]
+    rows = [(i, b, "", sorted(((w, h) for h, w in t.items()), reverse=True), float(sum(t.values()))) for i, b, t in sets]
+    got = same_product.similar_sets(spark.createDataFrame(rows, "set_id long, block long, code string, t array<struct<w: float, h: long>>, total double"), threshold)
+    assert {(x["a"], x["b"]): round(x["sim"], 5) for x in got.collect()} == brute(sets, threshold)
+
+
+#: Other lines of the same articles: what a word is worth shows only in a catalogue.
+OTHERS = [(f"O{i}{j}", f"{a} {b} {n1} {n2} {c} 15 ft red", None) for i in range(24) for j, a in enumerate(("Yoga Mat", "exercise mat", "Gym Mat")) for b, n1, n2, c in [(f"brand{'abcdef'[i % 6]}", f"nam{chr(97 + i)}o", f"sur{chr(97 + i)}ik", f"QRS-{1000 + 37 * i}")]]
 
 
 def test_same_product(spark):
     rows = [("A1", "Yoga Mat Acme Riven Fetili ABC-1234 15 ft red"), ("A2", "exercise mat acme riven fetili cherry red 4.6m"), ("A3", "Gym Mat ABC 1234 rd. 457 cm"), ("A4", "Yoga Mat Acme Riven Fetili 25 ft red"), ("A5", "Carry Case for Acme Riven Fetili Yoga Mat 15 ft red"), ("A6", "Gym Mat rd. 15-foot Riven Fetiil"), ("A7", "thing"), ("A8", "thing")]
-    df = spark.createDataFrame([(k, t, None) for k, t in rows], "key string, title string, model string")
-    got = {(r["key_a"], r["key_b"]) for r in same_product.pairs(same_product.groups(df)).collect()}
+    df = spark.createDataFrame([(k, t, None) for k, t in rows] + OTHERS, "key string, title string, model string")
+    got = {(r["key_a"], r["key_b"]) for r in same_product.pairs(same_product.groups(df)).where("key_a not like 'O%'").collect()}
     mine = ["A1", "A2", "A3", "A6"]
     assert got == {(a, b) for a in mine for b in mine if a < b} | {("A7", "A8")}
     assert same_product.groups(df.limit(0)).count() == 0
@@ -97,6 +116,7 @@ def test_listings_with_nulls(spark):
 def test_stars(spark):
     e = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (1, 4, 0.8), (4, 5, 0.9), (7, 7, 1.0), (None, 1, 1.0)], "a int, b int, sim double")
     got = {r["node"]: r["center"] for r in stars.star_clusters(e).collect()}
+    # 5 is left without an open neighbour once 4 is a satellite.
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
     assert stars.star_clusters(e.limit(0)).count() == 0
 
@@ -109,11 +129,35 @@ def test_linkage(spark):
     t = [("I1", "Gym Mat rd. 457 cm Riven Fetili", "ACME", "19.50", "2.2", T0, 1), ("I2", "", "x", "tbc", "", T0, 2), (None, "Yoga Mat ABC-1234 15ft red", None, None, None, T0, 3)]
     a = spark.createDataFrame(m, "asin string, title string, brand string, current_price double, weight_kg double, specifications string, updated_at timestamp, row_no long")
     b = spark.createDataFrame(t, "item_code string, item_name string, brand_name string, retail_price string, item_weight string, updated_at timestamp, row_no long")
-    got = linkage.links(a, b).collect()
-    assert [(r["asin"], r["item_code"]) for r in got] == [("B1", "I1")] and 0.9 < got[0]["confidence"] <= 1
+    more = lambda df, n: df.unionByName(spark.createDataFrame([(k + n, t) for k, t, _ in OTHERS], f"{df.columns[0]} string, {df.columns[1]} string"), allowMissingColumns=True)
+    got = linkage.links(more(a, "m"), more(b, "t")).where("asin like 'B%' or item_code like 'I%'").collect()
+    assert [(r["asin"], r["item_code"]) for r in got] == [("B1", "I1")] and 0.7 < got[0]["confidence"] <= 1
     assert linkage.links(a.limit(0), b).count() == 0
 
 
+def test_graph(spark):
+    """Nodes meet by a shared attribute in one block; an edge far lighter than the heaviest of an end is pruned."""
+    nodes = [(1, 7, {10: 90.0, 11: 80.0}), (-2, 7, {12: 90.0, 11: 80.0}), (-3, 8, {10: 90.0}), (4, 7, {20: 90.0, 21: 30.0}), (-5, 7, {20: 90.0, 21: 30.0}), (-6, 7, {21: 30.0, 30: 90.0})]
+    rows = [(n, b, sorted(((w, h) for h, w in t.items()), reverse=True), float(sum(t.values()))) for n, b, t in nodes]
+    df = spark.createDataFrame(rows, "node long, block long, t array<struct<w: float, h: long>>, total double")
+    got = {(r["x"], r["y"]): round(r["attr"], 4) for r in linkage.graph(df).collect()}
+    assert got == {(1, -2): round(80 / 170, 4), (4, -5): 1.0}
+
+
+def test_similarity_spreads_to_its_fixed_point(spark):
+    r = random.Random(5)
+    edges = [(i, -i - 1, r.randrange(4), r.randrange(4), round(r.random(), 3)) for i in range(40)]
+    got = {x["x"]: x["sim"] for x in linkage.spread(spark.createDataFrame(edges, "x long, y long, k1 long, k2 long, attr double"), 0.3, 1e-6).collect()}
+    sim = [e[4] for e in edges]
+    for _ in range(200):
+        mean = lambda k: {g: sum(s for s, e in zip(sim, edges) if e[k] == g) / sum(e[k] == g for e in edges) for g in range(4) if any(e[k] == g for e in edges)}
+        m1, m2 = mean(2), mean(3)
+        sim = [0.7 * e[4] + 0.15 * (m1[e[2]] + m2[e[3]]) for e in edges]
+    assert all(abs(got[e[0]] - s) < 1e-4 for e, s in zip(edges, sim))
+    with pytest.raises(RuntimeError):
+        linkage.spread(spark.createDataFrame(edges, "x long, y long, k1 long, k2 long, attr double"), 0.3, 1e-9, guard=2)
+
+
 # Problem 5
 
 
@@ -259,23 +303,27 @@ def test_queries_run(spark, data):
 # What a cut job would lose
 
 
-def test_labels_spread_until_none_is_gained(spark):
-    # The words of C speak for the line only once B is labelled, those of D once C is, and so on.
-    words = [["riven", "fetili"], ["riven", "fetili", "moka"], ["moka", "rivem", "fetilj"], ["moka", "rivem", "fetilj", "sudo"], ["sudo", "rixen", "fetixi"], ["other", "words"]]
-    rows = [(f"K{i}", "|mat", "ABC1234" if i == 0 else "", w) for i, w in enumerate(words)]
-    df = spark.createDataFrame(rows, "key string, art string, code string, words array<string>")
-    got = {r["key"]: r["code"] for r in lines(df).collect()}
-    assert got == {f"K{i}": "ABC1234" for i in range(5)} | {"K5": ""}
+def test_codes_spread_until_none_is_gained(spark):
+    # The words of K2 speak for the code only once K1 has it, those of K4 once K3 has, and so on.
+    words = [["abc1234", "riven", "fetili"], ["riven", "fetili", "moka"], ["moka", "rivem", "fetilj"], ["moka", "rivem", "fetilj", "sudo"], ["sudo", "rixxn", "fexixi"], ["other", "words"], []]
+    df = spark.createDataFrame([(i, "abc1234" if i == 0 else "", w) for i, w in enumerate(words)], "id long, code string, words array<string>")
+    df = df.withColumn("c", F.xxhash64("code")).withColumn("hs", F.transform("words", lambda w: F.xxhash64(w)))
+    seen = lines.borne(df)
+    stat = lines.statistics(seen, lines.chance(seen))
+    assert {r["id"] for r in lines.complete(df, seen, stat).collect()} == {1, 2, 3, 4}
     with pytest.raises(RuntimeError):
-        lines(df, guard=1)
-
-
-def test_listings_with_a_line_are_compared_by_name(spark):
-    # A2's code is mistyped; A4 has another line's code, far from A1's.
-    rows = [("A1", "ABC1234", ["acme", "fetili", "riven"]), ("A2", "ABC1243", ["acme", "fetili", "riven"]), ("A3", "ABC1234", []), ("A4", "XYZ9876", ["acme", "fetili", "riven"]), ("A5", "", ["acme", "moka", "sudo"])]
-    member = same_product.token_sets(spark.createDataFrame(rows, "key string, code string, words array<string>").withColumn("block", F.lit("|mat")))
-    sets = member.select("set_id", "node", "block", "tokens")
-    key = {r["set_id"]: r["key"] for r in member.collect()}
-    got = {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in same_product.same_name(same_product.similar_sets(sets, 0.5), sets).collect()}
-    assert got == {("A1", "A2")}
-    assert member.where("key in ('A1', 'A3')").select("node").distinct().count() == 1
+        lines.complete(df, seen, stat, guard=1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_misspelt_words_find_every_neighbour(spark, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(4, 7)))
+    unknown, known = sorted({word() for _ in range(40)}), sorted({word() for _ in range(40)})
+    rows = lambda ws: spark.createDataFrame([(w,) for w in ws], "token string").withColumn("h", F.xxhash64("token"))
+    stands = rows(known).select("h", F.col("h").alias("c"), F.lit(1.0).alias("share"))
+    name = {x["h"]: x["token"] for x in rows(unknown + known).collect()}
+    got = {(name[x["h"]], name[x["c"]]) for x in lines.misspelt(rows(unknown), rows(known), stands).collect()}
+    swapped = lambda a, b: len(a) == len(b) and sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == 2
+    assert {(a, b) for a in unknown for b in known if a != b and near(a, b)} <= got
+    assert all(near(a, b) or swapped(a, b) or sorted(a) == sorted(b) for a, b in got)

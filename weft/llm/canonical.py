@@ -144,7 +144,8 @@ def match(values: DataFrame, reference: DataFrame, aliases: dict[str, list[str]]
     dot = hits.groupBy("kind", "value", "form", "ref_id", "name", "norm").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
     score = dot.join(own, ["kind", "value", "form"]).withColumn("cosine", F.col("dot") / (F.col("norm") * F.col("own")))
     # One swap of letters spoils four trigrams; of the candidates, those within two edits score by the letters that stay.
-    score = score.where(F.col("cosine") >= 0.1).join(hint(names.select("name", F.col("form").alias("named"))), "name")
+    # A cosine below a tenth neither is accepted nor comes near one that is; lengths over two apart are more than two edits.
+    score = score.join(hint(names.select("name", F.col("form").alias("named"))), "name").where((F.col("cosine") >= 0.1) | (F.abs(F.length("form") - F.length("named")) <= 2))
     edits = F.levenshtein("form", "named")
     score = score.withColumn("score", F.when((edits <= 2) & (F.length("form") >= 6), F.greatest("cosine", 1 - edits / F.length("form"))).otherwise(F.col("cosine")))
     best = cut(score.groupBy("kind", "value", "ref_id").agg(F.max("score").alias("score")))

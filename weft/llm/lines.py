@@ -46,7 +46,7 @@ SPEAKS, ACCEPT, LEAD = 0.1, 0.5, 0.2
 #: What the share of a word one letter off counts.
 OFF = 0.8
 #: Share of the coded rows in which a token is common.
-COMMON = 0.0005
+COMMON = 0.0001
 #: Rounds of completion after which a call fails.
 GUARD = 100
 

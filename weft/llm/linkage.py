@@ -32,7 +32,7 @@ from weft.llm.titles import Lexicon
 from weft.session import cut, table
 
 #: Share of the greatest worth that a telling attribute has at least, and share of the records in which a token is frequent.
-TELLING, FREQUENT = 0.35, 0.0005
+TELLING, FREQUENT = 0.35, 0.0001
 #: Share of the heaviest edge of a node that an edge must weigh to be kept.
 KEEP = 0.45
 #: Part of a similarity that comes from the neighbouring edges, and the move at which the rounds end.

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import cut, table
+from weft.session import cut, grouped_quantiles, table
 
 #: Most rounds, and the mean change of a score at which the rounds end.
 ROUNDS, STILL = 6, 0.01
@@ -54,8 +54,10 @@ def scale(scored: DataFrame) -> Column:
     documents.
     """
     graded = scored.where("label is not null").withColumn("level", F.round("label").cast("int"))
-    per = graded.groupBy("tongue", "level").agg(F.median("score").alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH).collect()
-    every = graded.groupBy("level").agg(F.median("score").alias("m")).collect()
+    # Exact medians from counts of equal scores: no group is held in memory.
+    enough = graded.where("score is not null").groupBy("tongue", "level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH)
+    per = grouped_quantiles(graded, ["tongue", "level"], "score", 0.5, "m").join(enough, ["tongue", "level"]).collect()
+    every = grouped_quantiles(graded, ["level"], "score", 0.5, "m").collect()
     knots: dict = {}
     for r in per:
         knots.setdefault(r["tongue"], {})[r["level"]] = r["m"]

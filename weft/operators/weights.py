@@ -123,12 +123,14 @@ def judged(rows: DataFrame, stated: DataFrame, tolerance: float = TOLERANCE) ->
     bare = bare.select("key", "n", votes.alias("c")).select("key", "c.x", (F.col("n") * F.col("c.w")).alias("w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
     place = bare.groupBy("key", "grid", F.floor(F.col("x") / 0.2 + 0.5 * F.col("grid")).alias("p")).agg(F.sum("w").alias("w"), F.avg("x").alias("x"))
     weak = place.groupBy("key").agg(F.max_by("x", F.struct("w", (-F.col("x")).alias("o"))).alias("weak"))
-    known = cut(weak.join(strong, "key", "full").join(titles, "key", "full"))
-    flat = known.select("key", "strong", F.coalesce("strong", "weak").alias("x"), F.explode("ts").alias("t"))
+    known = cut(weak.join(strong, "key", "full").join(titles, "key", "full").withColumn("id", F.xxhash64("key")))
+    flat = known.select("id", "strong", F.coalesce("strong", "weak").alias("x"), F.explode("ts").alias("t"))
     q = F.percentile_approx("x", [0.25, 0.5, 0.75], 1000)
     agreed = flat.where("x is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n"), q.alias("q")).where((F.col("n") >= PEERS) & (F.col("q")[2] - F.col("q")[0] <= SPREAD)).select("t", "n", F.col("q")[1].alias("mid"), (F.col("q")[2] - F.col("q")[0]).alias("wide"))
-    line = flat.where("strong is null").join(agreed, "t").groupBy("key").agg(F.max_by("mid", F.struct(F.least("n", F.lit(20)), -F.col("wide"), "t")).alias("line"))
-    expected = known.join(line, "key", "left").select("key", F.coalesce("strong", "line", "weak").alias("x"), "weak")
+    # Written, so that the shuffle of all tokens behind it can go.
+    agreed = cut(agreed)
+    line = flat.where("strong is null").select("id", "t").join(agreed, "t").groupBy("id").agg(F.max_by("mid", F.struct(F.least("n", F.lit(20)), -F.col("wide"), "t")).alias("line"))
+    expected = known.join(line, "id", "left").select("key", F.coalesce("strong", "line", "weak").alias("x"), "weak")
     out = rows.join(expected, "key", "left")
     best = _best(F.col("v"), F.col("own"), F.col("x"), prior)
     other = _best(F.col("v"), F.col("own"), F.col("weak"), prior)

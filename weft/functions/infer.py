@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +12,47 @@ from pyspark.sql import functions as F
 BOOLEANS = ("true", "false", "yes", "no", "0", "1", "t", "f", "y", "n")
 # Words in codes made mostly of digits.
 ID_WORDS = ("id", "no", "num", "ref", "code")
-# Date formats of the type annotator.
-DATE_FORMATS = ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "yyyy/M/d", "d.M.yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s", "yyyy-M-d H:m", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "MMM d, yyyy", "d MMM yyyy")
+# Date formats of the type annotator, and the least lengths of their parts where it asks for some.
+DATE_FORMATS = [
+    ("EEEEE, MM/dd/yyyy", None),
+    ("yyyy-MM-dd'T'HH:mm:ss", None),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSS", None),
+    ("yyyy-MM-dd", (2, 1, 1)),
+    ("MM/dd/yyyy HH:mm:ss", None),
+    ("MM/dd/yyyy", (1, 1, 2)),
+    ("dd/MM/yyyy", (1, 1, 2)),
+    ("MM/dd/yy", (1, 1, 2)),
+    ("dd/MM/yy", (1, 1, 2)),
+    ("dd-MMM-yy", (2, 3, 2)),
+    ("MMM-dd", None),
+    ("dd-MMM", None),
+]
+#: What a letter of a format stands for in a pattern; months and weekdays by their English names.
+FIELDS = {"y": r"([0-9]{%d,9})", "M": r"([0-9]{%d,9})", "d": r"([0-9]{%d,9})", "H": "([01]?[0-9]|2[0-3])", "m": "([0-5]?[0-9])", "s": "([0-5]?[0-9])", "S": "([0-9]{1,3})", "MMM": "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)", "E": "(mon(?:day)?|tue(?:sday)?|wed(?:nesday)?|thu(?:rsday)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)"}
+
+
+def in_format(c: Column, form: str, least: tuple[int, ...] | None) -> Column:
+    """Whether a text is an existing day written in the format; a day without a year is one of 1970."""
+    pieces = [m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", form)]
+    pattern, at, k = "", {}, 0
+    for x in pieces:
+        if not x[0].isalpha():
+            pattern += re.escape(x.strip("'"))
+            continue
+        n = least[k] if least and k < len(least) else 1
+        k += 1
+        at[x[0]] = k
+        field = FIELDS["MMM"] if x == "MMM" else FIELDS[x[0]]
+        pattern += field % n if "%d" in field else field
+    pattern = f"(?i)^{pattern}$"
+    get = lambda letter, other: F.regexp_extract(c, pattern, at[letter]) if letter in at else F.lit(other)
+    month = F.lower(F.substring(get("M", "1"), 1, 3))
+    if "MMM" in form:
+        month = F.coalesce(*[F.when(month == m, F.lit(str(i + 1))) for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))])
+    y, m, d = (F.nullif(x, F.lit("")).try_cast("int") for x in (get("y", "1970"), month, get("d", "1")))
+    leap = ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int")
+    days = F.when(m == 2, 28 + leap).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.coalesce(c.rlike(pattern) & m.between(1, 12) & (d >= 1) & (d <= days), F.lit(False))
 
 
 def is_phone(c: Column) -> Column:
@@ -100,8 +142,8 @@ def annotated_type(c: Column) -> Column:
     grouped = v.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{3})*$") | v.rlike(r"^[-+]?[0-9]+$")
     n = F.when(grouped, whole).try_cast("decimal(38,0)")
     dec = (v.rlike(r"^[-+]?[0-9]*[.][0-9]+$") | v.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{3})*[.][0-9]+$") | v.rlike(r"^[-+]?[0-9]+(\.[0-9]+)?[eE][-+]?[0-9]+$"))
-    day = F.regexp_replace(v, r"\s*[AaPp][Mm]$", "")
-    date = F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in DATE_FORMATS]).isNotNull() & F.coalesce(day.rlike(r"^[0-9A-Za-z,]"), F.lit(False))
+    # A date has a digit beside a sign, so that most texts are ruled out by one pattern.
+    date = v.rlike(r"[0-9][-/]|[-/][0-9]") & functools.reduce(lambda a, b: a | b, [in_format(v, f, least) for f, least in DATE_FORMATS])
     return F.when(n.isNotNull() & n.between(-(2**31), 2**31 - 1), "integer").when(n.isNotNull() & n.between(-(2**63), 2**63 - 1), "long").when(n.isNotNull() | dec, "decimal").when(is_geo(v), "geo").when(date, "date").otherwise("text")
 
 

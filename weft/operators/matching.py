@@ -239,13 +239,25 @@ def dataset_matrix(columns: DataFrame) -> DataFrame:
 
 
 # Words in a column's name that tell its meaning.
-MEANINGS = {"identifier": ("id", "sku", "asin", "code", "key"), "name": ("name", "title"), "price": ("price", "cost", "amount", "total", "acctbal"), "quantity": ("qty", "quantity", "stock", "inventory", "count", "level"), "date": ("date", "time", "created", "updated", "at"), "category": ("category", "type", "segment"), "brand": ("brand", "manufacturer", "maker", "supplier"), "location": ("city", "state", "nation", "region", "address"), "status": ("status", "active", "condition", "flag"), "measure": ("weight", "dimension", "size", "length")}
+MEANINGS = {
+    "identifier": ("id", "sku", "asin", "code", "number"),
+    "name": ("name", "title"),
+    "contact": ("email", "phone", "contact"),
+    "address": ("address", "city", "state", "zip", "postal", "country"),
+    "date": ("date", "time", "created", "signup", "registration", "timestamp"),
+    "price": ("price", "amount", "cost", "total", "retail", "current"),
+    "quantity": ("quantity", "qty", "count", "inventory", "stock"),
+    "status": ("status", "active", "premium", "member", "prime", "loyalty", "availability"),
+    "measurement": ("weight", "dimension", "lbs", "kg"),
+    "category": ("category", "type", "subcategory"),
+    "brand": ("brand", "manufacturer", "supplier", "seller"),
+}
 
 
 def meaning(name: str) -> str:
-    """The first meaning one of whose words is in a column's name; "other" otherwise."""
+    """Every meaning one of whose words is in a column's name, in the table's order, joined by ", "; "other" if there is none."""
     low = name.lower()
-    return next((k for k, ws in MEANINGS.items() if any(w in low for w in ws)), "other")
+    return ", ".join(k for k, ws in MEANINGS.items() if any(w in low for w in ws)) or "other"
 
 
 def name_ratio(a: str, b: str) -> float:

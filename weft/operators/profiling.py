@@ -134,7 +134,7 @@ def candidate_keys(df: DataFrame, unique: float = 0.95, nulls: float = 0.05) ->
 
 
 # Words in the names of columns that hold times.
-TIME_WORDS = ("date", "time", "created", "updated", "modified", "timestamp", "year", "month", "day")
+TIME_WORDS = ("date", "time", "timestamp", "year", "month", "day", "hour")
 
 
 def temporal_columns(df: DataFrame) -> list[str]:

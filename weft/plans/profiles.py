@@ -119,6 +119,25 @@ def annotate_types(spark, d):
     return v.select("v", infer.annotated_type(F.col("v")).alias("type"))
 
 
+# Formats of the type annotator as date_format and as strftime write them.
+WRITTEN = [("EEEE, MM/dd/yyyy", "%A, %m/%d/%Y"), ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"), ("yyyy-MM-dd'T'HH:mm:ss.SSS", "%Y-%m-%dT%H:%M:%S.%g"), ("yyyy-MM-dd", "%Y-%m-%d"), ("MM/dd/yyyy HH:mm:ss", "%m/%d/%Y %H:%M:%S"), ("MM/dd/yyyy", "%m/%d/%Y"), ("dd/MM/yyyy", "%d/%m/%Y"), ("MM/dd/yy", "%m/%d/%y"), ("dd/MM/yy", "%d/%m/%y"), ("dd-MMM-yy", "%d-%b-%y"), ("MMM-dd", "%b-%d"), ("dd-MMM", "%d-%b")]
+
+
+def _written(form: str, sql: str) -> str:
+    day = "case when strftime(o_orderdate, '%m-%d') = '02-29' then 'text' else 'date' end" if form in ("MMM-dd", "dd-MMM") else "'date'"
+    return f"select '{form.replace("'", "''")}' as form, strftime(o_orderdate, '{sql}') as v, {day} as type, count(*) as n from orders where o_orderdate is not null group by 1, 2, 3"
+
+
+@query(" union all ".join(_written(*w) for w in WRITTEN) + " union all select 'geo', '(' || c_acctbal || ', ' || c_custkey || ')', 'geo', count(*) from customer where c_acctbal is not null and c_custkey is not null group by 1, 2, 3 union all select 'none', strftime(o_orderdate, '%d.%m.%Y'), 'text', count(*) from orders where o_orderdate is not null group by 1, 2, 3")
+def annotate_dates(spark, d):
+    """The type of every order date written in each of the annotator's formats, of points and of dates in another format."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    v = o.select(F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.date_format("o_orderdate", f).alias("v")) for f, _ in [*WRITTEN, ("dd.MM.yyyy", "")]])).alias("x")).select(F.when(F.col("x.form") == "dd.MM.yyyy", "none").otherwise(F.col("x.form")).alias("form"), "x.v")
+    v = v.unionByName(c.select(F.lit("geo").alias("form"), F.concat(F.lit("("), F.col("c_acctbal").cast("string"), F.lit(", "), F.col("c_custkey").cast("string"), F.lit(")")).alias("v"))).where("v is not null")
+    n = v.groupBy("form", "v").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("form", "v", infer.annotated_type(F.col("v")).alias("type"), "n")
+
+
 @query(r"""with c as ({cells}), t as (select dataset, "column", case when regexp_matches(trim(value), '^[-+]?[0-9]+$') then 'integer' when regexp_matches(trim(value), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$') then 'decimal' else 'text' end as type from c where value is not null)
 select dataset, "column", type, count(*) as n from t group by 1, 2, 3""".replace("{cells}", " union all ".join(unpivoted(t, c) for t, c in TYPED)))
 def type_histogram(spark, d):

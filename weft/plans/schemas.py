@@ -169,7 +169,9 @@ def name_groups(spark, d):
     return g.groupBy("kind", "part").agg(F.array_sort(F.collect_list("file")).alias("files")).where(F.size("files") >= 2)
 
 
-@query()
+@query("""with c as (select table_name as dataset, column_name as "column", lower(column_name) as low from information_schema.columns where table_name in ('cluster_2_unified', 'deduplicated_output', 'modern_products', 'third_system_products', 'customer', 'supplier', 'nation', 'region', 'part')),
+m(k, meaning, words) as (values (1, 'identifier', 'id|sku|asin|code|number'), (2, 'name', 'name|title'), (3, 'contact', 'email|phone|contact'), (4, 'address', 'address|city|state|zip|postal|country'), (5, 'date', 'date|time|created|signup|registration|timestamp'), (6, 'price', 'price|amount|cost|total|retail|current'), (7, 'quantity', 'quantity|qty|count|inventory|stock'), (8, 'status', 'status|active|premium|member|prime|loyalty|availability'), (9, 'measurement', 'weight|dimension|lbs|kg'), (10, 'category', 'category|type|subcategory'), (11, 'brand', 'brand|manufacturer|supplier|seller'))
+select c.dataset, c."column", coalesce(string_agg(m.meaning, ', ' order by m.k), 'other') as meaning from c left join m on regexp_matches(c.low, m.words) group by 1, 2""")
 def column_meanings(spark, d):
     c = columns(spark, d, [*PRODUCTS, *OTHERS])
     return spark.createDataFrame([(r["dataset"], r["column"], M.meaning(r["column"])) for r in c.collect()], "dataset string, column string, meaning string")

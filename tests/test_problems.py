@@ -61,6 +61,22 @@ def test_curves_are_exact(spark):
     assert quality.profile(quality.unpivot(df.limit(0), "t", "load_no")).count() == 0
 
 
+def test_curves_of_many_loads(spark):
+    """More loads than one array of distances holds: all pairs, in several blocks."""
+    r = np.random.default_rng(5)
+    loads = {k: r.integers(0, 40, 3 + k % 4) + (100.0 if k == 7 else 0.0) for k in range(530)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in loads.items() for x in xs], "load_no int, v double")
+    cells = quality.unpivot(df, "t", "load_no", ["v"])
+    c = quality._curves(cells.groupBy("table_name", "column_name", "load_no", "value").count().withColumnRenamed("count", "n")).toPandas()
+    d = c[c["kind"] == "ks"].set_index(["a", "b"])["d"]
+    assert len(d) == 530 * 529
+    for a, b in [(0, 1), (7, 300), (529, 7), (263, 264), (264, 263), *r.integers(0, 265, (30, 2)) * 2 + [0, 1]]:
+        assert d[(a, b)] == pytest.approx(ks(loads[a], loads[b]))
+    q = c[c["kind"] == "q"].set_index(["a", "b"])["d"]
+    assert len(q) == 530 * len(quality.QUANTILES) and all(q[(k, 3)] == np.sort(x)[(len(x) + 1) // 2 - 1] for k, x in loads.items())
+    assert quality.profile(cells).count() == 530
+
+
 def test_text_number(spark):
     v = ["$12.50", "12,50", "12.50 USD", "tbc", "", None, "1,234.50", "-3.1"]
     got = spark.createDataFrame([(x,) for x in v], "v string").select(quality.text_number(F.col("v"))).collect()

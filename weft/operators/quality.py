@@ -35,8 +35,8 @@ MARGIN, CHANCE = 0.06, 1.7
 #: The same for shares.
 SHARE_MARGIN, SHARE_CHANCE = 0.06, 6.0
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
-#: Most loads whose curves are held against each other in one array.
-LOADS = 512
+#: Most pairs of loads whose distances are held in one array, and most cells of the curves that are held at once.
+PAIRS, CELLS = 1 << 18, 1 << 20
 
 
 def text_number(text: Column) -> Column:
@@ -102,47 +102,62 @@ def _curves(counts: DataFrame) -> DataFrame:
     grid = sums.select(*key, "part").distinct().join(every, key).join(sums, [*key, "part", "load_no"], "left")
     before = W.partitionBy(*key, "load_no").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     grid = cut(grid.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*key, "part", "load_no", "total", "before"))
+    # The loads of a column are dealt into blocks, so that an array of distances stays small whatever their number; up to 512 loads are one block.
+    blocks = every.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) * F.count(F.lit(1)) / F.lit(PAIRS)).cast("int").alias("blocks"))
+    dealt = lambda d: d.join(F.broadcast(blocks.withColumn("blocks", F.col("blocks") + 0)), key).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def part(rows: pd.DataFrame, head: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(head):
             head = head.sort_values("load_no")
             loads, total, prefix = head["load_no"].to_numpy(), head["total"].to_numpy(float), head["before"].to_numpy(float)
-            if len(loads) > LOADS:
-                raise ValueError(f"more than {LOADS} loads in one column")
             values, at = np.unique(rows["value"].to_numpy(float), return_inverse=True)
             n = len(loads)
+            mine = np.array_split(np.arange(n), head["blocks"].iloc[0])[head["block"].iloc[0]]
             place = np.searchsorted(loads, rows["load_no"].to_numpy())
-            best = np.zeros((n, n))
             run = prefix.copy()
-            order = np.argsort(at, kind="stable")
+            apart = lambda r: np.abs(r / total - (r / total)[mine, None])
+            best = apart(run)
+            order = np.lexsort((place, at))
             at, place, count = at[order], place[order], rows["n"].to_numpy(float)[order]
             want = np.array(QUANTILES)
+            size = max(1, CELLS // n)
             # Curves in blocks of values, so that memory stays small.
-            for lo in range(0, len(values), 2048):
-                hi = min(lo + 2048, len(values))
+            for lo in range(0, len(values), size):
+                hi = min(lo + size, len(values))
                 i, j = np.searchsorted(at, [lo, hi])
-                step = np.zeros((hi - lo, n))
-                np.add.at(step, (at[i:j] - lo, place[i:j]), count[i:j])
-                cum = run + np.cumsum(step, axis=0)
-                f = np.vstack([run / total, cum / total])
-                for a in range(n):
-                    best[a] = np.maximum(best[a], np.abs(f - f[:, a : a + 1]).max(axis=0))
-                for a in range(n):
+                step = np.zeros((hi - lo + 1, n))
+                step[0] = run
+                np.add.at(step, (at[i:j] - lo + 1, place[i:j]), count[i:j])
+                cum = np.cumsum(step, axis=0)
+                f = cum / total
+                by = np.argsort(place[i:j], kind="stable")
+                ends = np.searchsorted(place[i:j][by], np.append(mine, mine[-1] + 1))
+                for k, a in enumerate(mine):
+                    jumps = at[i:j][by[ends[k] : ends[k + 1]]] - lo + 1
+                    if not len(jumps):
+                        continue
+                    # Between two steps of a its curve is level and the others only rise: the greatest gap is at a step of a or just before it, or at an end of the range.
+                    g = f[np.unique(np.concatenate([jumps - 1, jumps]))]
+                    best[k] = np.maximum(best[k], np.abs(g - g[:, a : a + 1]).max(axis=0))
                     # The smallest value whose count reaches the rank.
-                    rank = np.maximum(1, np.ceil(want * total[a] - 1e-9))
-                    for k, r in enumerate(rank):
+                    for q, r in enumerate(np.maximum(1, np.ceil(want * total[a] - 1e-9))):
                         if run[a] < r <= cum[-1, a]:
-                            out.append(("q", loads[a], k, values[lo + int(np.searchsorted(cum[:, a], r))], total[a]))
+                            out.append(("q", loads[a], [q], [values[lo + int(np.searchsorted(cum[1:, a], r))]], [total[a]]))
                 run = cum[-1]
-            out += [("ks", loads[a], loads[b], best[a, b], total[b]) for a in range(n) for b in range(n) if a != b]
+            best = np.maximum(best, apart(run))
+            for k, a in enumerate(mine):
+                other = np.arange(n) != a
+                out.append(("ks", loads[a], loads[other], best[k, other], total[other]))
         got = pd.DataFrame(out, columns=["kind", "a", "b", "d", "m"])
         got.insert(0, "column_name", head["column_name"].iloc[0] if len(head) else None)
         got.insert(0, "table_name", head["table_name"].iloc[0] if len(head) else None)
         return got
 
-    by = [*key, "part"]
-    got = ranged.groupBy(*by).cogroup(grid.groupBy(*by)).applyInPandas(part, "table_name string, column_name string, kind string, a int, b int, d double, m double")
+    by = [*key, "part", "block"]
+    got = dealt(ranged).groupBy(*by).cogroup(dealt(grid).groupBy(*by)).applyInPandas(part, "table_name string, column_name string, kind string, a int, b array<int>, d array<double>, m array<double>")
+    # A load's row of distances is one row until it is where they are compared.
+    got = got.repartition(*key, "kind", "a").select(*key, "kind", "a", F.explode(F.arrays_zip("b", "d", "m")).alias("x")).select(*key, "kind", "a", "x.b", "x.d", "x.m")
     return cut(got.groupBy(*key, "kind", "a", "b").agg(F.max("d").alias("d"), F.max("m").alias("m")))
 
 

@@ -31,6 +31,36 @@ def test_drift(spark):
     assert t.where("sku is not null").count() == 24
 
 
+def test_drift_broadcasts_nothing_that_grows(spark, tmp_path):
+    """Written tables look small to the planner; what has a row per file and name is merged all the same."""
+    rows = [(f, n, {"sku" if n < 2 + f % 2 else "code": f"PROD-{i:05d}", "price": i + 0.5}) for f in range(300) for n in (1, 2, 3) for i in (f, f + 1)]
+    records = spark.createDataFrame(feed(rows), FEED)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sizes = []
+    store = spark._jsparkSession.sharedState().statusStore()
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        first = store.executionsCount()
+        log = drift.changes(records)
+        assert log.where("change_kind = 'renamed'").count() == 300
+        runs = store.executionsList()
+        for i in range(first, runs.size()):
+            execution = runs.apply(i).executionId()
+            metrics = store.executionMetrics(execution)
+            nodes = store.planGraph(execution).allNodes()
+            for k in range(nodes.size()):
+                if nodes.apply(k).name() == "BroadcastExchange":
+                    ms = nodes.apply(k).metrics()
+                    for m in range(ms.size()):
+                        if ms.apply(m).name() == "number of output rows":
+                            said = metrics.get(ms.apply(m).accumulatorId())
+                            sizes.append(int(said.get().replace(",", "")) if said.isDefined() else 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # 900 files, 300 feeds; the names and their pairs are a few.
+    assert runs.size() > first and max(sizes, default=0) < 100
+
+
 def test_drift_of_nothing(spark):
     df = spark.createDataFrame([], FEED)
     assert drift.changes(df).count() == 0

@@ -33,6 +33,11 @@ THRESHOLD = 0.5
 KEY = ["feed_id", "file_no"]
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the files: merged, not broadcast, as the planner knows a written table by its packed size only, a small part of what it takes in the driver's memory."""
+    return df.hint("merge")
+
+
 def fields(records: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
     """One row per record and top-level field: the kept columns, name, kind (null for JSON null), leaf (text of the value inside)."""
     keep = keep or [*KEY]
@@ -85,7 +90,7 @@ def _common(pairs: DataFrame, shares: DataFrame, by: list[str], out: str) -> Dat
     a = shares.withColumnsRenamed({"name": "old_name", "share": "sa"})
     b = shares.withColumnsRenamed({"name": "new_name", "share": "sb"})
     p = pairs.select(*by, "old_name", "new_name").distinct()
-    got = p.join(a, [*by, "old_name"]).join(b, [*by, "new_name", "feature"]).groupBy(*by, "old_name", "new_name").agg(F.sum(F.least("sa", "sb")).alias(out))
+    got = p.join(_merged(a), [*by, "old_name"]).join(_merged(b), [*by, "new_name", "feature"]).groupBy(*by, "old_name", "new_name").agg(F.sum(F.least("sa", "sb")).alias(out))
     return got
 
 
@@ -97,19 +102,19 @@ def changes(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     step = steps(records)
     # Whether (nearly) every record of the file bears the name.
     full = (F.col("bearers") >= 0.97 * F.col("records")).cast("int").alias("full")
-    seen = cut(seen.join(records.groupBy(*KEY).agg(F.count(F.lit(1)).alias("records")), KEY).select(*KEY, "name", "kind", "bearers", full))
-    cur = step.join(seen, KEY)
-    old = step.join(seen.withColumnRenamed("file_no", "prev"), ["feed_id", "prev"])
+    seen = cut(seen.join(_merged(records.groupBy(*KEY).agg(F.count(F.lit(1)).alias("records"))), KEY).select(*KEY, "name", "kind", "bearers", full))
+    cur = step.join(_merged(seen), KEY)
+    old = step.join(_merged(seen.withColumnRenamed("file_no", "prev")), ["feed_id", "prev"])
     both = cur.select(*KEY, "name", F.col("kind").alias("new_kind"), F.col("full").alias("new_full")).join(old.select(*KEY, "name", F.col("kind").alias("old_kind"), F.col("full").alias("old_full"), F.lit(True).alias("was")), [*KEY, "name"], "full")
-    both = cut(both.join(cur.select(*KEY, "name", F.lit(True).alias("now")), [*KEY, "name"], "left"))
+    both = cut(both.join(_merged(cur.select(*KEY, "name", F.lit(True).alias("now"))), [*KEY, "name"], "left"))
     come = both.where("was is null").select(*KEY, F.col("name").alias("new_name"), "new_kind", "new_full")
     gone = both.where("now is null").select(*KEY, F.col("name").alias("old_name"), "old_kind", "old_full")
     system = records.groupBy("feed_id").agg(F.min("system_name").alias("system_name"))
-    pairs = gone.join(come, KEY).join(system, "feed_id")
+    pairs = gone.join(_merged(come), KEY).join(_merged(system), "feed_id")
     # Names that stand in one file anywhere in the system are different fields.
-    named = seen.join(system, "feed_id").select("system_name", *KEY, "name")
+    named = seen.join(_merged(system), "feed_id").select("system_name", *KEY, "name")
     kinds = pairs.select("system_name", "old_name", "new_name").distinct()
-    together = kinds.join(named.withColumnRenamed("name", "old_name"), ["system_name", "old_name"]).join(named.withColumnRenamed("name", "new_name"), ["system_name", *KEY, "new_name"], "left_semi").select("system_name", "old_name", "new_name").distinct()
+    together = kinds.join(_merged(named.withColumnRenamed("name", "old_name")), ["system_name", "old_name"]).join(_merged(named.withColumnRenamed("name", "new_name")), ["system_name", *KEY, "new_name"], "left_semi").select("system_name", "old_name", "new_name").distinct()
     pairs = cut(pairs.join(together, ["system_name", "old_name", "new_name"], "left_anti"))
     # Features only of names that take part in a pair.
     wanted = pairs.select("system_name", F.explode(F.array("old_name", "new_name")).alias("name")).distinct()
@@ -119,7 +124,7 @@ def changes(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     everywhere = _common(pairs, _shares(values, ["system_name"]), ["system_name"], "everywhere")
     letters = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, r"([a-z])([A-Z])", "$1_$2")), r"[^a-z0-9]+"), lambda w: w != ""))
     name = F.size(F.array_intersect(letters("old_name"), letters("new_name"))) / F.size(F.array_union(letters("old_name"), letters("new_name")))
-    scored = pairs.join(here, ["feed_id", "old_name", "new_name"], "left").join(everywhere, ["system_name", "old_name", "new_name"], "left")
+    scored = pairs.join(_merged(here), ["feed_id", "old_name", "new_name"], "left").join(everywhere, ["system_name", "old_name", "new_name"], "left")
     scored = scored.withColumn("similarity", F.greatest(F.coalesce("here", F.lit(0.0)), F.coalesce("everywhere", F.lit(0.0))) * 0.75 + 0.15 * name + F.when(F.col("old_full") == F.col("new_full"), F.when(F.col("old_full") == 1, 0.25).otherwise(0.1)).otherwise(0.0)).where(F.col("similarity") >= threshold)
     rank = lambda c: F.row_number().over(W.partitionBy(*KEY, c).orderBy(F.desc("similarity"), "old_name", "new_name"))
     renamed = cut(scored.withColumn("ra", rank("old_name")).withColumn("rb", rank("new_name")).where("ra = 1 and rb = 1"))
@@ -128,8 +133,8 @@ def changes(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     log = renamed.select(*KEY, F.lit("renamed").alias("change_kind"), "old_name", "new_name", "old_kind", "new_kind", F.round("similarity", 4).alias("similarity"))
     log = log.unionByName(renamed.where("old_kind <> new_kind").select(*KEY, F.lit("retyped").alias("change_kind"), "old_name", "new_name", "old_kind", "new_kind", none))
     log = log.unionByName(both.where("was and now and old_kind <> new_kind").select(*KEY, F.lit("retyped").alias("change_kind"), F.col("name").alias("old_name"), F.col("name").alias("new_name"), "old_kind", "new_kind", none))
-    log = log.unionByName(come.join(renamed.select(*KEY, "new_name"), [*KEY, "new_name"], "left_anti").select(*KEY, F.lit("added").alias("change_kind"), blank.alias("old_name"), "new_name", F.lit(None).cast("string").alias("old_kind"), "new_kind", none))
-    return log.unionByName(gone.join(renamed.select(*KEY, "old_name"), [*KEY, "old_name"], "left_anti").select(*KEY, F.lit("removed").alias("change_kind"), "old_name", blank.alias("new_name"), "old_kind", F.lit(None).cast("string").alias("new_kind"), none))
+    log = log.unionByName(come.join(_merged(renamed.select(*KEY, "new_name")), [*KEY, "new_name"], "left_anti").select(*KEY, F.lit("added").alias("change_kind"), blank.alias("old_name"), "new_name", F.lit(None).cast("string").alias("old_kind"), "new_kind", none))
+    return log.unionByName(gone.join(_merged(renamed.select(*KEY, "old_name")), [*KEY, "old_name"], "left_anti").select(*KEY, F.lit("removed").alias("change_kind"), "old_name", blank.alias("new_name"), "old_kind", F.lit(None).cast("string").alias("new_kind"), none))
 
 
 def roots(log: DataFrame, seen: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -141,10 +146,10 @@ def roots(log: DataFrame, seen: DataFrame, rounds: int = 1000) -> DataFrame:
     back = cut(log.where("change_kind = 'renamed'").select("feed_id", F.col("new_name").alias("field"), F.col("file_no").alias("at"), "old_name"))
     at = cut(seen.select(*KEY, "name", F.col("name").alias("field"), F.col("file_no").alias("upto")))
     for _ in range(rounds):
-        last = at.join(back, ["feed_id", "field"]).where("at <= upto").groupBy(*KEY, "name").agg(F.max_by(F.struct("old_name", "at"), "at").alias("b"))
+        last = at.join(_merged(back), ["feed_id", "field"]).where("at <= upto").groupBy(*KEY, "name").agg(F.max_by(F.struct("old_name", "at"), "at").alias("b"))
         if last.isEmpty():
             return at.select(*KEY, "name", "field")
-        at = cut(at.join(last, [*KEY, "name"], "left").select(*KEY, "name", F.coalesce("b.old_name", "field").alias("field"), F.coalesce(F.col("b.at") - 1, F.when(F.col("b").isNull(), F.lit(-1))).alias("upto")))
+        at = cut(at.join(_merged(last), [*KEY, "name"], "left").select(*KEY, "name", F.coalesce("b.old_name", "field").alias("field"), F.coalesce(F.col("b.at") - 1, F.when(F.col("b").isNull(), F.lit(-1))).alias("upto")))
     raise RuntimeError(f"more than {rounds} renames of one field")
 
 
@@ -174,7 +179,7 @@ def unified(records: DataFrame, log: DataFrame | None = None, most: int = 1000)
     log = cut(log if log is not None else changes(records))
     flat = fields(records, keep=["record_no", *KEY])
     named = roots(log, schemas(flat))
-    flat = cut(flat.join(named, [*KEY, "name"]).select("record_no", "field", "kind", "leaf"))
+    flat = cut(flat.join(_merged(named), [*KEY, "name"]).select("record_no", "field", "kind", "leaf"))
     types = {r["field"]: r["type"] for r in lattice(flat).orderBy("field").limit(most + 1).collect()}
     if len(types) > most:
         raise ValueError(f"more than {most} fields")
@@ -182,7 +187,7 @@ def unified(records: DataFrame, log: DataFrame | None = None, most: int = 1000)
     truth = F.when(F.col("leaf") == "true", True).when(F.col("leaf") == "false", False)
     cast = {"double": number, "boolean": truth, "string": F.col("leaf")}
     wide = flat.groupBy("record_no").agg(*[F.max(F.when(F.col("field") == f, cast[t])).alias(f) for f, t in types.items()]) if types else flat.select("record_no").distinct()
-    return records.select("record_no", *KEY).join(wide, "record_no", "left")
+    return records.select("record_no", *KEY).join(_merged(wide), "record_no", "left")
 
 
 def p2_found(spark, folder):

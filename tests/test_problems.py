@@ -61,6 +61,18 @@ def test_drift_broadcasts_nothing_that_grows(spark, tmp_path):
     assert runs.size() > first and max(sizes, default=0) < 100
 
 
+def test_drift_reads_texts_to_their_end(spark):
+    """Two fields whose texts begin alike, in words, letters and shape, and differ behind: each is found again under its new name."""
+    head = "the very same beginning of every text, "
+    care, ship = "wash by hand only", "leaves from warehouse seven"
+    a = [(1, 1, {"care": f"{head}{care}", "ship": f"{head}{ship}"}) for _ in range(8)]
+    b = [(1, 2, {"note_a": f"{head}{ship}", "note_b": f"{head}{care}"}) for _ in range(8)]
+    log = drift.changes(spark.createDataFrame(feed(a + b), FEED)).collect()
+    assert {(r["change_kind"], r["old_name"], r["new_name"]) for r in log} == {("renamed", "care", "note_b"), ("renamed", "ship", "note_a")}
+    values = drift.fields(spark.createDataFrame(feed([(1, 1, {"o": {"v": 'a, "b" c'}, "n": {"v": None}})]), FEED))
+    assert {r["name"]: r["leaf"] for r in values.collect()} == {"o": 'a, "b" c', "n": None}
+
+
 def test_drift_of_nothing(spark):
     df = spark.createDataFrame([], FEED)
     assert drift.changes(df).count() == 0

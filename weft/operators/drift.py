@@ -4,7 +4,7 @@ Every file's schema is read from its records in parallel (names, JSON kinds,
 how often), files are compared with the file before them, and the differences
 are logged in order.  Fields that go and fields that come in the same file are
 held against each other by content: the shares of value features (numeric
-places, word beginnings, shapes, lengths) that two names have in common, in the
+places, words, ends, shapes, lengths) that two names have in common, in the
 feed and in all feeds of the system.  Two names that ever stand in one file are
 different fields.  Mutual best pairs above a threshold are renames.
 
@@ -46,25 +46,50 @@ def fields(records: DataFrame, payload: str = "payload", keep: list[str] | None
     of = F.schema_of_variant("v")
     kind = F.when(F.col("v").isNull() | F.is_variant_null("v"), None).when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").when(of == "STRING", "string").when(of == "BOOLEAN", "boolean").when(of != "VOID", "number")
     text = F.try_variant_get("v", "$", "string")
-    leaf = F.when(kind == "object", F.regexp_extract(F.to_json("v"), r':\s*"?([^",}]*)', 1)).when(kind == "array", F.regexp_replace(F.to_json("v"), r'[\[\]"]', "")).otherwise(text)
+    inside = F.map_values(F.from_json(F.to_json("v"), "map<string,string>"))
+    leaf = F.when(kind == "object", F.when(F.exists(inside, lambda x: x.isNotNull()), F.array_join(inside, ","))).when(kind == "array", F.regexp_replace(F.to_json("v"), r'[\[\]"]', "")).otherwise(text)
     return rows.select(*keep, "name", kind.alias("kind"), leaf.alias("leaf"))
 
 
 
+#: What a feature of full weight counts; features that are parts of one text share their weight.
+WHOLE = 1 << 20
+
+
 def features(leaf: Column) -> Column:
-    """What a value shows of its field: the place of a number and whether it has decimals, or beginnings of words, shape and length of a text."""
+    """What a value shows of its field, as array of (feature, w): the place of a number and whether it has decimals, or words, ends, shape and length of a text.
+
+    All of a text counts, however long: its words in pieces of six signs weigh
+    three features together (less if there are fewer pieces), the pieces of its
+    shape two.
+    """
+
+    def weigh(names: Column, w: Column) -> Column:
+        return F.transform(names, lambda f: F.struct(f.alias("feature"), w.cast("long").alias("w")))
+
+    def shared(mark: str, pieces: Column, w: Column) -> Column:
+        return F.when(F.size(pieces) > 0, weigh(F.transform(pieces, lambda x: F.concat(F.lit(mark), x)), F.greatest(F.lit(1), F.floor(w * WHOLE / F.greatest(F.size(pieces), F.lit(1)))))).otherwise(none)
+
+    none = F.array().cast("array<struct<feature:string,w:bigint>>")
+    one = lambda f, w=WHOLE: weigh(F.array(f), F.lit(w))
+    place = lambda v: F.round(F.log10(v + 0.05) * 2).cast("string")
+
+    def shown(low: Column, amount: Column) -> Column:
+        number = F.concat(one(F.concat(F.lit("d:"), amount.contains(".").cast("string"))), one(F.concat(F.lit("b:"), place(amount.try_cast("double"))), 2 * WHOLE))
+        words = F.regexp_extract_all(low, F.lit(r"[\p{L}0-9]{1,6}"), F.lit(0))
+        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"[0-9]+", "9"), r"\p{L}+", "a"), r"(a )+a", "a a")
+        ends = F.concat(one(F.concat(F.lit("p:"), F.substring(low, 1, 2)), WHOLE // 2), one(F.concat(F.lit("e:"), F.substring(low, -2, 2)), WHOLE // 2))
+        text = F.concat(shared("w:", words, F.least(F.lit(3), F.size(words))), shared("s:", F.regexp_extract_all(shape, F.lit(r"(?s).{1,16}"), F.lit(0)), F.lit(2)), ends, one(F.concat(F.lit("l:"), F.round(F.log2(F.length(low) + 1)).cast("string"))))
+        # The number inside a code has its place too, so that a code and its bare number have something in common; so have the wordings of truth values.
+        inner = F.regexp_extract(low, r"([0-9]+)[^0-9.]*$", 1)
+        code = F.when((inner != "") & ~amount.contains("."), one(F.concat(F.lit("i:"), place(inner.try_cast("double"))))).otherwise(none)
+        truth = F.when(low.isin("true", "yes", "1"), one(F.lit("t:1"), 3 * WHOLE)).when(low.isin("false", "no", "0"), one(F.lit("t:0"), 3 * WHOLE)).otherwise(none)
+        return F.concat(F.when(amount != "", number).when(F.size(truth) > 0, none).otherwise(text), code, truth)
+
     low = F.lower(leaf)
     amount = F.regexp_extract(low, r"^[$]?([0-9]+(?:[.][0-9]+)?)(?: ?[a-z]{1,3})?$", 1)
-    value = amount.try_cast("double")
-    number = F.array(F.concat(F.lit("d:"), amount.contains(".").cast("string")), F.concat(F.lit("b:"), F.round(F.log10(value + 0.05) * 2).cast("string")), F.concat(F.lit("b:"), F.round(F.log10(value + 0.05) * 2).cast("string")))
-    words = F.slice(F.split(low, r"[^\p{L}0-9]+"), 1, 3)
-    shape = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"[0-9]+", "9"), r"\p{L}+", "a"), r"(a )+a", "a a"), 1, 16)
-    text = F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), F.substring(w, 1, 6))), F.array(F.concat(F.lit("p:"), F.substring(low, 1, 2)), F.concat(F.lit("s:"), shape), F.concat(F.lit("s:"), shape), F.concat(F.lit("l:"), F.round(F.log2(F.length(low) + 1)).cast("string"))))
-    # The number inside a code has its place too, so that a code and its bare number have something in common; so have the wordings of truth values.
-    inner = F.regexp_extract(low, r"([0-9]+)[^0-9.]*$", 1).try_cast("double")
-    code = F.when(inner.isNotNull() & ~amount.contains("."), F.array(F.concat(F.lit("i:"), F.round(F.log10(inner + 0.05) * 2).cast("string")))).otherwise(F.array().cast("array<string>"))
-    truth = F.when(low.isin("true", "yes", "1"), F.array(F.lit("t:1"), F.lit("t:1"), F.lit("t:1"))).when(low.isin("false", "no", "0"), F.array(F.lit("t:0"), F.lit("t:0"), F.lit("t:0"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.when(amount != "", number).when(F.size(truth) > 0, F.array().cast("array<string>")).otherwise(text), code, truth)
+    # Read once, looked at often.
+    return F.get(F.transform(F.array(F.struct(low.alias("low"), amount.alias("amount"))), lambda x: shown(x["low"], x["amount"])), F.lit(0))
 
 
 def schemas(rows: DataFrame) -> DataFrame:
@@ -118,8 +143,8 @@ def changes(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = cut(pairs.join(together, ["system_name", "old_name", "new_name"], "left_anti"))
     # Features only of names that take part in a pair.
     wanted = pairs.select("system_name", F.explode(F.array("old_name", "new_name")).alias("name")).distinct()
-    values = rows.where("leaf is not null").join(wanted, ["system_name", "name"], "left_semi").select("system_name", "feed_id", "name", F.explode(features(F.col("leaf"))).alias("feature"))
-    values = cut(values.groupBy("system_name", "feed_id", "name", "feature").agg(F.count(F.lit(1)).alias("n")))
+    values = rows.where("leaf is not null").join(wanted, ["system_name", "name"], "left_semi").select("system_name", "feed_id", "name", F.explode(features(F.col("leaf"))).alias("x"))
+    values = cut(values.groupBy("system_name", "feed_id", "name", F.col("x.feature").alias("feature")).agg(F.sum("x.w").alias("n")))
     here = _common(pairs, _shares(values, ["feed_id"]), ["feed_id"], "here")
     everywhere = _common(pairs, _shares(values, ["system_name"]), ["system_name"], "everywhere")
     letters = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, r"([a-z])([A-Z])", "$1_$2")), r"[^a-z0-9]+"), lambda w: w != ""))

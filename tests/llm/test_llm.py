@@ -327,3 +327,19 @@ def test_misspelt_words_find_every_neighbour(spark, seed):
     swapped = lambda a, b: len(a) == len(b) and sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == 2
     assert {(a, b) for a in unknown for b in known if a != b and near(a, b)} <= got
     assert all(near(a, b) or swapped(a, b) or sorted(a) == sorted(b) for a, b in got)
+
+
+def test_words_of_many_products_name_one_together(spark):
+    # Every word stands in the names of eleven products, so that none speaks for a code; two of them do, also if one is misspelt.
+    word = lambda start, i: start + "".join(2 * chr(97 + i // 26**k % 26) for k in range(3))
+    names = [(word("ve", i), word("so", (7 * i + 53 * k) % 1100)) for i in range(1100) for k in range(11)]
+    coded = [(f"C{n}", f"abc{10000 + n}", [f"abc{10000 + n}", a, b]) for n, (a, b) in enumerate(names)]
+    asked = list(range(0, 12100, 605))
+    slips = {"O": lambda a, b: [a, b], "P": lambda a, b: [a, b[:-1]], "Q": lambda a, b: [a[:3] + a[4:], b], "R": lambda a, b: [a, "sizzy"]}
+    rows = coded + [(f"{s}{n}", "", slip(*names[n])) for s, slip in slips.items() for n in asked]
+    df = spark.createDataFrame(rows, "key string, code string, words array<string>").withColumn("block", F.lit(0))
+    df = df.withColumn("c", F.xxhash64("code")).withColumn("hs", F.array_sort(F.transform("words", lambda w: F.xxhash64(w))))
+    member, _, _ = lines.members(df)
+    of = {r["c"]: r["code"] for r in df.select("c", "code").distinct().collect()}
+    got = {r["key"]: [of[h] for h in r["hs"] if of.get(h)] for r in member.where("code = ''").collect()}
+    assert got == {f"{s}{n}": [f"abc{10000 + n}"] if s != "R" else [] for s in slips for n in asked}

@@ -343,3 +343,21 @@ def test_words_of_many_products_name_one_together(spark):
     of = {r["c"]: r["code"] for r in df.select("c", "code").distinct().collect()}
     got = {r["key"]: [of[h] for h in r["hs"] if of.get(h)] for r in member.where("code = ''").collect()}
     assert got == {f"{s}{n}": [f"abc{10000 + n}"] if s != "R" else [] for s in slips for n in asked}
+
+
+def test_tables_that_nothing_reads_are_released(spark):
+    from weft import session
+
+    since = session.written()
+    a, b, empty = session.cut(spark.range(3)), session.cut(spark.range(5)), session.cut(spark.range(0))
+    both = a.unionByName(empty)
+    gone = b.inputFiles()[0]
+    session.release(since, both)
+    assert session.written() - since == 2 and both.count() == 3 and session.cut(both).count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(gone).count()
+    df = spark.createDataFrame(OTHERS, "key string, title string, model string")
+    since = session.written()
+    same_product.grouped(df, df, same_product.THRESHOLD, None)
+    # Of the some forty tables, those of the members, edges and stars are left.
+    assert session.written() - since < 12

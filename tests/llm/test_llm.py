@@ -361,3 +361,12 @@ def test_tables_that_nothing_reads_are_released(spark):
     same_product.grouped(df, df, same_product.THRESHOLD, None)
     # Of the some forty tables, those of the members, edges and stars are left.
     assert session.written() - since < 12
+
+
+def test_counted_words_are_compared_with_much_more_frequent_ones_only(spark):
+    """p3_found, p1_found: a word of a pair is misspelt if a neighbour stands RARER times as often; one that no row has, always."""
+    rows = lambda ws: spark.createDataFrame(ws, "token string, n long").withColumn("h", F.xxhash64("token"))
+    unknown, known = rows([("vexxa", 0), ("mokka", 3)]), rows([("vexxb", 1), ("mokkb", 3 * lines.RARER - 1), ("mokkc", 3 * lines.RARER)])
+    name = {r["h"]: r["token"] for r in unknown.unionByName(known).collect()}
+    got = {(name[r["of"]], name[r["h"]], r["n"]) for r in lines.spellings(unknown, known).collect()}
+    assert got == {("vexxa", "vexxb", 0), ("mokka", "mokkc", 3)}

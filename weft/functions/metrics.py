@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.functions.batches import difflib_ratios, jaro_winkler_values
+
 
 def threshold(spec: str):
     """"GT0.5" (strict), "GEQ0.5" (inclusive) or a bare number (strict) -> function of a column.
@@ -41,6 +43,12 @@ def array_jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """array_jaccard of arrays without repeated values, with one look through them."""
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+
+
 def precision(hits: Column, found: Column) -> Column:
     return F.coalesce(F.try_divide(hits, found), F.lit(0.0))
 
@@ -113,21 +121,21 @@ def jaro_winkler_value(s: str, t: str, scale: float = 0.1) -> float:
 
 
 def _pairwise(fn):
-    @F.pandas_udf(T.DoubleType())
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            yield pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b)], dtype="float64")
+            yield fn(a, b)
 
     return apply
 
 
-jaro_winkler = _pairwise(jaro_winkler_value)
-difflib_ratio = _pairwise(lambda s, t: SequenceMatcher(None, s, t).ratio())
+jaro_winkler = _pairwise(jaro_winkler_values)
+difflib_ratio = _pairwise(difflib_ratios)
 
 
-def text_similarity(a: Column, b: Column, words_a: Column, words_b: Column) -> Column:
+def text_similarity(a: Column, b: Column, words_a: Column, words_b: Column, overlap=array_jaccard) -> Column:
     """1 if equal, 0 if either is empty, else the larger of Jaro-Winkler and word Jaccard."""
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(jaro_winkler(a, b), array_jaccard(words_a, words_b)))
+    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(jaro_winkler(a, b), overlap(words_a, words_b)))
 
 
 # How well inferred types go together, for mapping columns and for comparing tables.

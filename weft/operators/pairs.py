@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.metrics import levenshtein_similarity
+from weft.session import cut
+
+#: Strings in a tile of every_pair, and most tasks for all pairs of tiles.
+TILE, TASKS = 500, 2000
 
 
 def block_pairs(values: DataFrame, column: str, block: Column) -> DataFrame:
@@ -19,9 +23,20 @@ def block_pairs(values: DataFrame, column: str, block: Column) -> DataFrame:
 
 
 def every_pair(values: DataFrame) -> DataFrame:
-    """All pairs a < b of the distinct strings: for small vocabularies such as column or category names."""
-    v = values.where("v is not null").select("v").distinct().withColumn("__one", F.lit(1))
-    return v.withColumnRenamed("v", "a").join(v.withColumnRenamed("v", "b"), "__one").where("a < b").select("a", "b")
+    """All pairs a < b of the distinct strings: for small vocabularies such as column or category names.
+
+    The strings are dealt out to tiles, so that the pairs of two tiles are the
+    work of one task.
+    """
+    v = cut(values.where("v is not null").select("v").distinct())
+    tiles = max(1, -(-v.count() // TILE))
+    v = v.select("v", F.pmod(F.xxhash64("v"), F.lit(tiles)).cast("int").alias("t"))
+    # The number is stated, as the planner would make one task of rows so few.
+    dealt = lambda c, p, q: v.select(F.col("v").alias(c), p.alias("p"), q.alias("q")).repartition(min(TASKS, tiles * (tiles + 1) // 2), "p", "q")
+    x = dealt("x", F.col("t"), F.explode(F.sequence(F.col("t"), F.lit(tiles - 1))))
+    y = dealt("y", F.explode(F.sequence(F.lit(0), F.col("t"))), F.col("t"))
+    pairs = x.hint("shuffle_hash").join(y, ["p", "q"]).where("p < q and x <> y or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar_strings(values: DataFrame, least: float) -> DataFrame:

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from weft.functions import metrics, text
 from weft.operators.graph import components
-from weft.session import exact_quantile, grouped_quantiles
+from weft.session import cut, exact_quantile, grouped_quantiles
+
+#: Records in a part of a block, records and pairs that are work for one task, and most tasks.
+PART, WORK, TASKS = 500, 100_000, 2000
+#: Records of a similarity above this are one.
+SIMILAR = 0.8
 
 
 def id_block(c: Column) -> Column:
@@ -49,25 +54,72 @@ def candidate_pairs(records: DataFrame, key: str, blocks: list[str]) -> DataFram
     return p.groupBy("a", "b").agg(F.min_by("name", "i").alias("block_key"))
 
 
-def record_similarity(pairs: DataFrame, records: DataFrame, key: str, texts: dict[str, float], numbers: dict[str, float]) -> DataFrame:
-    """a, b, sim: the weighted mean of the columns' similarities; a column that is null or empty on either side does not count."""
-    cols = [*texts, *numbers]
-    side = lambda s: records.select(F.col(key).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for c, w in texts.items():
-        x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
-        ok = (x != "") & (y != "")
-        p = p.withColumn(f"__{c}", F.when(ok, metrics.text_similarity(x, y, F.split(x, " "), F.split(y, " "))))
-    for c, w in numbers.items():
+def with_sides(pairs: DataFrame, records: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Pairs a, b with the columns of both records, as c_a and c_b."""
+    side = lambda s: records.select(F.col(key).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[c for c in pairs.columns if c not in ("a", "b")], *[f"{c}_{s}" for c in columns for s in "ab"])
+
+
+def paired(records: DataFrame, key: str, blocks: list[str], columns: list[str]) -> DataFrame:
+    """The pairs of candidate_pairs with the columns of both records, as c_a and c_b, in one join.
+
+    Records carry their columns and blocks into the join, so that a pair is made
+    by the first blocking that has it only and nothing is looked up by pair.  A
+    block of more than PART records is dealt out to parts, and the pairs of two
+    parts are the work of one task.  Keys that stand for several records
+    (which the join of candidate_pairs mixes) take the two joins.
+    """
+    records = records.where(F.col(key).isNotNull())
+    if not records.groupBy(key).count().where("count > 1").isEmpty():
+        return with_sides(candidate_pairs(records, key, blocks), records, key, columns).drop("block_key")
+    known = [F.when(~F.col(b).isin("no_id", "no_text", "nan"), F.col(b)).alias(f"__v{i}") for i, b in enumerate(blocks)]
+    rows = records.select(F.col(key).alias("__k"), *columns, *known)
+    flat = rows.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.col(f"__v{i}").alias("__v")) for i in range(len(blocks))])).alias("x")).select("*", "x.*").drop("x").where("__v is not null")
+    many = cut(flat.groupBy("__i", "__v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    tasks = 1 + int((many.agg(F.sum("n") + F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0) / WORK)
+    parts = many.select("__i", "__v", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    flat = flat.join(parts, ["__i", "__v"]).withColumn("__p", F.pmod(F.xxhash64("__k"), "parts").cast("int"))
+    on = ["__i", "__v", "__p", "__q"]
+    # The number is stated, as the planner goes by the bytes read, not by the pairs made of them.
+    side = lambda s, p, q: flat.select("__i", "__v", p.alias("__p"), q.alias("__q"), *[F.col(c).alias(f"{c}_{s}") for c in ["__k", *columns, *[f"__v{i}" for i in range(len(blocks) - 1)]]]).repartition(min(TASKS, tasks), *on)
+    x = side("x", F.col("__p"), F.explode(F.sequence("__p", F.col("parts") - 1)))
+    y = side("y", F.explode(F.sequence(F.lit(0), "__p")), F.col("__p"))
+    p = x.join(y, on).where("__p < __q or __k_x < __k_y")
+    for i in range(len(blocks) - 1):
+        p = p.where((F.col("__i") <= i) | ~F.coalesce(F.col(f"__v{i}_x") == F.col(f"__v{i}_y"), F.lit(False)))
+    ordered = F.col("__k_x") < F.col("__k_y")
+    both = lambda c, a, b: [F.when(ordered, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")).alias(a), F.when(ordered, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")).alias(b)]
+    return p.select(*both("__k", "a", "b"), *[e for c in columns for e in both(c, f"{c}_a", f"{c}_b")])
+
+
+def similar_pairs(records: DataFrame, key: str, blocks: list[str], texts: dict[str, float], numbers: dict[str, float], above: float | None = None) -> DataFrame:
+    """a, b, sim of the candidate pairs: the weighted mean of the columns' similarities; a column that is null or empty on either side does not count.
+
+    With above, only pairs of a similarity above it: texts of a pair whose
+    numbers are so far apart that equal texts would not do are not compared.
+    """
+    words = {f"{c}__words": F.array_distinct(F.split(c, " ")) for c in texts}
+    p = paired(records.withColumns(words), key, blocks, [*texts, *words, *numbers])
+    for c in numbers:
         p = p.withColumn(f"__{c}", metrics.numeric_similarity(F.col(f"{c}_a"), F.col(f"{c}_b")))
-    for c, w in {**texts, **numbers}.items():
-        total = total + F.coalesce(F.col(f"__{c}") * w, F.lit(0.0))
-        weight = weight + F.when(F.col(f"__{c}").isNotNull(), w).otherwise(0.0)
-    return p.select("a", "b", F.round(F.coalesce(F.try_divide(total, weight), F.lit(0.0)), 6).alias("sim"))
+    ok = {c: F.coalesce((F.col(f"{c}_a") != "") & (F.col(f"{c}_b") != ""), F.lit(False)) for c in texts}
+
+    def mean(of) -> Column:
+        total, weight = F.lit(0.0), F.lit(0.0)
+        for c, w in {**texts, **numbers}.items():
+            total = total + F.coalesce(of(c) * w, F.lit(0.0))
+            weight = weight + F.when(of(c).isNotNull(), w).otherwise(0.0)
+        return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
+
+    if above is not None:
+        p = p.where(mean(lambda c: F.when(ok[c], 1.0) if c in texts else F.col(f"__{c}")) > above - 1e-6)
+    for c in texts:
+        p = p.withColumn(f"__{c}", F.when(ok[c], metrics.text_similarity(F.col(f"{c}_a"), F.col(f"{c}_b"), F.col(f"{c}__words_a"), F.col(f"{c}__words_b"), metrics.set_jaccard)))
+    p = p.select("a", "b", F.round(mean(lambda c: F.col(f"__{c}")), 6).alias("sim"))
+    return p if above is None else p.where(F.col("sim") > above)
 
 
-def clusters(pairs: DataFrame, records: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+def clusters(pairs: DataFrame, records: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
     """node, component of the pairs above least; records without a partner are their own."""
     return components(pairs.where(F.col("sim") > least).select("a", "b"), records.select(key))
 

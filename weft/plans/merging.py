@@ -123,9 +123,9 @@ case when pa is null or pb is null then null when greatest(abs(pa), abs(pb)) = 0
 sim as (select ia as a, ib as b, round((0.5 * ts + coalesce(0.35 * ns, 0)) / (0.5 + case when ns is null then 0 else 0.35 end), 6) as sim from t)"""
 
 
-def _similar(spark, d):
+def _similar(spark, d, above=None):
     r = _records(spark, d)
-    return r, E.record_similarity(E.candidate_pairs(r, "id", ["block_text", "block_brand"]), r, "id", {"name": 0.5}, {"price": 0.35})
+    return r, E.similar_pairs(r, "id", ["block_text", "block_brand"], {"name": 0.5}, {"price": 0.35}, above)
 
 
 @query(f"with {REC}, {SIM} select a, b, sim from sim")

@@ -136,8 +136,8 @@ def record_similarity(spark, d):
 @query()
 def duplicate_clusters(spark, d):
     """Components of the similar records; every record has one."""
-    r, s = _similar(spark, d)
-    return E.clusters(cut(s), r, "id")
+    r, s = _similar(spark, d, E.SIMILAR)
+    return E.clusters(s, r, "id")
 
 
 def _text(c: str) -> str:

@@ -170,7 +170,6 @@ def minhash_pairs(spark, d):
 def linkage_levels(spark, d):
     """Agreement levels of candidate pairs by Jaro-Winkler, without training (X5)."""
     r = _records(spark, d)
-    p = E.candidate_pairs(r, "id", ["block_text", "block_brand"])
-    p = p.join(r.selectExpr("id a", "name na"), "a").join(r.selectExpr("id b", "name nb"), "b")
-    j = metrics.jaro_winkler("na", "nb")
+    p = E.paired(r, "id", ["block_text", "block_brand"], ["name"])
+    j = metrics.jaro_winkler("name_a", "name_b")
     return p.withColumn("jw", F.round(j, 6)).select("a", "b", "jw", F.when(F.col("jw") >= 0.9, 2).when(F.col("jw") >= 0.7, 1).otherwise(0).alias("level"))

@@ -370,3 +370,37 @@ def test_counted_words_are_compared_with_much_more_frequent_ones_only(spark):
     name = {r["h"]: r["token"] for r in unknown.unionByName(known).collect()}
     got = {(name[r["of"]], name[r["h"]], r["n"]) for r in lines.spellings(unknown, known).collect()}
     assert got == {("vexxa", "vexxb", 0), ("mokka", "mokkc", 3)}
+
+
+def test_a_word_is_held_against_those_near_it_only(monkeypatch):
+    """p1_found, p3_found: a new word is compared with the few that share what is left without a letter, not with the whole list; the same are found."""
+    from weft.llm import titles
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randrange(5, 8))) for _ in range(60)})
+    asked = [*words, *("".join(r.choice("abcd") for _ in range(r.randrange(0, 9))) for _ in range(300))]
+    assert [titles.Near(words).find(w) for w in asked] == [[i for i, v in enumerate(words) if near(w, v)] for w in asked] and titles.Near([]).find("a") == []
+    calls = []
+    monkeypatch.setattr(titles, "near", lambda a, b: calls.append((a, b)) or near(a, b))
+    p = Parser()
+    assert p.kind("purpel") == "c:purple" and p.kind("zzzyzz") == "" and p.unit("plaeyrs") == ("n", 1) and p.unit("ounec")[0] == "mass"
+    assert len(calls) < 8 and not any(a == "zzzyzz" for a, _ in calls)
+
+
+def test_tokens_of_a_set_are_gathered_whole(spark):
+    """p1_found, p3_found: sets that go on over many batches, and equal tokens, come out as one sorted set; nothing is collected in a second aggregation."""
+    r = random.Random(4)
+    worth = {h: float(r.randrange(1, 9)) for h in range(-40, 40)}
+    of = {n: (n % 3, f"c{n}", [h for h in worth if r.random() < 0.5] or [0]) for n in range(-30, 30)}
+    rows = [(n, b, c, h, worth[h]) for n, (b, c, hs) in of.items() for h in hs for _ in range(1 + (h % 2))]
+    df = spark.createDataFrame(rows, "set_id long, block long, code string, h long, w float")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = lines.gathered(df, "set_id", "block", "code").collect()
+        assert lines.gathered(df.limit(0), "set_id", "block", "code").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {n: (b, c, sorted(((worth[h], h) for h in hs), reverse=True)) for n, (b, c, hs) in of.items()}
+    assert {x["set_id"]: (x["block"], x["code"], [tuple(y) for y in x["t"]]) for x in got} == want and len(got) == len(of)
+    assert all(x["total"] == sum(w for w, _ in want[x["set_id"]][2]) for x in got)
